@@ -10,9 +10,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-MULTIPLIERS = (-7046029254386353131, -4417276706812531889)
-
-
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder that the cluster names; where none is named, as in tests, a new one of this machine."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -31,9 +28,9 @@ def stored(df: DataFrame, *partition_by: str) -> DataFrame:
 
 
 def bloom_bits(hashes: DataFrame, bits: int) -> np.ndarray:
-    """A Bloom filter of 2**bits bits with two probes over the column ``h``; what reaches the driver is 2**bits / 8 bytes at most."""
+    """A Bloom filter of 2**bits bits with two probes, the high and the low bits of the column ``h`` (bits <= 32); what reaches the driver is 2**bits / 8 bytes at most."""
     h = F.col("h")
-    slots = [F.shiftrightunsigned(h if k is None else h * F.lit(k), 64 - bits) for k in (None, MULTIPLIERS[0])]
+    slots = [F.shiftrightunsigned(h, 64 - bits), h.bitwiseAND(F.lit((1 << bits) - 1))]
     words = (
         hashes.select(F.explode(F.array(*slots)).alias("slot"))
         .groupBy(F.shiftright("slot", 6).alias("word"))
@@ -47,10 +44,9 @@ def bloom_bits(hashes: DataFrame, bits: int) -> np.ndarray:
 
 def in_bloom(filter_: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     """Which uint64 hashes the filter may hold; none that it holds is missed."""
-    shift = np.uint64(64 - (len(filter_).bit_length() - 1 + 6))
+    bits = len(filter_).bit_length() - 1 + 6
     out = np.ones(len(hashes), bool)
-    for k in (None, MULTIPLIERS[0]):
-        slot = (hashes if k is None else hashes * np.uint64(k & ((1 << 64) - 1))) >> shift
+    for slot in (hashes >> np.uint64(64 - bits), hashes & np.uint64((1 << bits) - 1)):
         out &= (filter_[slot >> np.uint64(6)] >> (slot & np.uint64(63)) & np.uint64(1)).astype(bool)
     return out
 
@@ -59,6 +55,11 @@ def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> Data
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def joined_small(df: DataFrame, small: DataFrame, on: list[str], how: str, rows: int = 1_000_000) -> DataFrame:
+    """df joined with a table of a few columns: broadcast if it was counted and has at most so many rows, else shuffled."""
+    return df.join(F.broadcast(small) if small.limit(rows + 1).count() <= rows else small, on, how)
+
+
 def extended(schema: T.StructType, **columns: str) -> T.StructType:
     """A new schema with more columns (StructType.add would change a frame's own)."""
     kinds = T.StructType.fromDDL(", ".join(f"`{name}` {kind}" for name, kind in columns.items()))
