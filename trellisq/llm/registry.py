@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import decontaminate, near_duplicates, quality, substrings
+from . import decontaminate, mixing, near_duplicates, quality, sharding, substrings
 
-QUERIES = {f.__name__: f for f in (near_duplicates.op1_ngram_jaccard_join, quality.op2_quality_rules, substrings.op3_substring_dedup, decontaminate.op4_decontamination)}
+QUERIES = {f.__name__: f for f in (near_duplicates.op1_ngram_jaccard_join, quality.op2_quality_rules, substrings.op3_substring_dedup, decontaminate.op4_decontamination, sharding.op6_sharding, mixing.op8_mixing)}
 
 ORACLE_SQL: dict[str, str] = {}
