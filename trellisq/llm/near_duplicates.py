@@ -333,5 +333,16 @@ def linked(docs: DataFrame, text: str = "text", id_: str = "doc_id", percent: in
     return rows.join(component, "c", "left").select("id", F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"))
 
 
+def deduplicated(docs: DataFrame, text: str = "text", id_: str = "doc_id", percent: int = PERCENT) -> DataFrame:
+    """docs without those that are linked, directly or not, to one with a smaller id; of rows that share an id one stays."""
+    gone = stored(linked(docs, text, id_, percent).where("component_id != id").select(F.col("id").alias("_nd_id")).distinct())
+    rest = joined_small(docs.withColumn("_nd_id", F.col(id_).cast("long")), gone, ["_nd_id"], "left_anti")
+    twice = stored(rest.where("_nd_id is not null").groupBy("_nd_id").count().where("count > 1").select("_nd_id"))
+    if twice.limit(1).count():
+        once = joined_small(rest, twice, ["_nd_id"], "left_anti")
+        rest = once.unionByName(joined_small(rest, twice, ["_nd_id"], "inner").dropDuplicates(["_nd_id"]))
+    return rest.select(*docs.columns)
+
+
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked(documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
