@@ -164,11 +164,12 @@ class Ctx(Expr):
     key: str
     steps: tuple = ()
     shape: Shape | None = None
+    start: Shape | None = None
 
     def __getattr__(self, name: str):
         shape = object.__getattribute__(self, "shape")
         if shape is not None and not name.startswith("_") and (p := shape.find(name)):
-            return Ctx(self.key, (*self.steps, name), shape.value_shape(p))
+            return Ctx(self.key, (*self.steps, name), shape.value_shape(p), self.start or shape)
         return super().__getattr__(name)
 
 

@@ -154,7 +154,7 @@ class Planner:
         if not ctx.steps:
             return F.lit(id_)
         # A property of the context node: one row joined to every other.
-        shape = self.source.catalog.shape(self.context[ctx.key]["shape"]) if isinstance(self.context[ctx.key], dict) and "shape" in self.context[ctx.key] else ctx.shape
+        shape = self.source.catalog.shape(self.context[ctx.key]["shape"]) if isinstance(self.context[ctx.key], dict) and "shape" in self.context[ctx.key] else ctx.start or ctx.shape
         scope, column = Scope(shape), frame.fresh()
         inner = Frame(self, self.source.spark.createDataFrame([(id_,)], ["cid"]), scope, "cid", shape, frame.graphs)
         value = inner.value(Path(scope, tuple(Step(x) for x in ctx.steps), None), "inner", "inner")
