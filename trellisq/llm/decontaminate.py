@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import arrays as A
-from .shared import documents, extended
+from .shared import any_columns, documents, extended
 
 WINDOW = 8
 COLUMNS = {"n_words": "long", "n_hit": "long", "n_items": "long", "items": "array<string>", "contaminated": "boolean"}
@@ -137,6 +137,7 @@ def _blocks(benchmark: DataFrame, id_: str, text: str, block_bytes: int) -> Iter
         yield held
 
 
+@any_columns("text")
 def annotate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", min_items: int = 2, block_bytes: int = 16 << 20, prefix: str = "") -> DataFrame:
     """docs with n_words, n_hit (words inside an occurrence of a window), n_items, items (their ids, sorted) and contaminated.
 

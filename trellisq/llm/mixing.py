@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import documents, joined_small, stored
+from .shared import any_columns, documents, joined_small, stored
 
 WORD = r"[^\x20\x09-\x0D]+"
 COLUMNS = ("size", "source_size", "target", "copies", "taken")
@@ -95,6 +95,7 @@ def _copies(max_repeats: int, factor: Column) -> Column:
     return F.least(F.lit(max_repeats), F.floor(rate + F.col("_mx_u"))).cast("long")
 
 
+@any_columns("text", "source", "id_")
 def mixed(docs: DataFrame, text: str = "text", source: str = "source", id_: str = "doc_id", weights: tuple[int, ...] = (1, 2, 3), max_repeats: int = 3) -> DataFrame:
     """docs with size, source_size, target (words of its source), copies and taken (copies * size)."""
     docs = docs.drop(*COLUMNS)

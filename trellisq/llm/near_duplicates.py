@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 
 from . import arrays as A
 from .components import components
-from .shared import documents, joined_small, stored
+from .shared import any_columns, documents, joined_small, stored
 
 SHINGLE = 5
 PERCENT = 80
@@ -333,6 +333,7 @@ def linked(docs: DataFrame, text: str = "text", id_: str = "doc_id", percent: in
     return rows.join(component, "c", "left").select("id", F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"))
 
 
+@any_columns("text", "id_")
 def deduplicated(docs: DataFrame, text: str = "text", id_: str = "doc_id", percent: int = PERCENT) -> DataFrame:
     """docs without those that are linked, directly or not, to one with a smaller id; of rows that share an id one stays."""
     gone = stored(linked(docs, text, id_, percent).where("component_id != id").select(F.col("id").alias("_nd_id")).distinct())

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from . import arrays as A
 from .decontaminate import Lookup
-from .shared import bloom_bits, documents, extended, in_bloom, stored
+from .shared import any_columns, bloom_bits, documents, extended, in_bloom, stored
 
 KINDS = ("email", "ip", "card", "phone", "term")
 COLUMNS = ("n_email", "n_ip", "n_card", "n_phone", "n_term", "base", "spans", "sanitised")
@@ -153,6 +153,7 @@ def disclosing_terms(docs: DataFrame, reach: int = 8, support: int = 3, disclosi
     return stored(pairs.join(rows, "term").withColumn("share", F.col("n") / F.col("rows")).where(F.col("share") >= disclosing).select("term", "share"))
 
 
+@any_columns("text")
 def sanitised(docs: DataFrame, text: str = "text", removing: float = 0.9, block_terms: int = 1_000_000, **settings) -> DataFrame:
     """docs with the counts of each kind, base and spans (code points, sorted by kind as listed, then start) and the sanitised text."""
     docs = docs.drop(*COLUMNS)

@@ -25,7 +25,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import documents
+from .shared import any_columns, documents
 
 #: The patterns of the base kinds; assign and hex matches are then held to the least lengths.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -36,7 +36,8 @@ TOKEN = r"[A-Za-z0-9+/_=-]{20,}"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-."
 COLUMNS = ("n_assign", "n_access", "n_hex", "n_model", "base", "spans")
 SAMPLE = 2000
-THRESHOLD = 1.0
+#: Nats a character pair; over the 19 pairs of the shortest token odds of more than 500,000 to 1.
+THRESHOLD = 0.7
 SPAN = "array<struct<start:int,rank:int,kind:string,end:int>>"
 
 
@@ -122,6 +123,7 @@ def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+@any_columns("text")
 def scanned(docs: DataFrame, text: str = "text", sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
     """docs with the counts of each kind, base (the base spans) and spans (all), sorted by start, then kind as listed. No shuffle of texts."""
     docs = docs.drop(*COLUMNS)

@@ -28,7 +28,7 @@ import heapq
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import documents, stored
+from .shared import any_columns, documents, stored
 
 COLUMNS = ("size", "text_crc32", "law", "shard", "slot", "grown_shard")
 KEY_BITS, STEP_BITS, RANGE_BITS, SPREAD = 63, 10, 13, 64
@@ -87,6 +87,7 @@ def _splitters(rest: DataFrame, aims: list[float], tolerance: float) -> list[int
     return [found[k] for k in range(len(aims))]
 
 
+@any_columns("text", "id_")
 def sharded(docs: DataFrame, shards: int = 8, text: str = "text", id_: str = "doc_id", tolerance: float = 0.001) -> DataFrame:
     """docs with size (bytes and 1), text_crc32, law, shard, slot and grown_shard (null: the law is ``bytes``)."""
     docs = docs.drop(*COLUMNS)

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import functools
+import inspect
+import re
 import tempfile
 import uuid
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -66,5 +69,26 @@ def extended(schema: T.StructType, **columns: str) -> T.StructType:
     return T.StructType([*schema.fields, *kinds.fields])
 
 
-def same(a: Column, b: Column) -> Column:
-    return a.eqNullSafe(b)
+def any_columns(*params: str):
+    """For an operator on (docs, ...): inside, the columns of docs have numbered names, so no name of the input can clash with the operator's own.
+
+    params: which parameters name columns.  Outputs replace columns of docs that have their names.
+    """
+
+    def decorate(operator):
+        signature = inspect.signature(operator)
+
+        @functools.wraps(operator)
+        def run(docs: DataFrame, *args, **kwargs) -> DataFrame:
+            names = docs.columns
+            bound = signature.bind(docs.toDF(*(f"c{k}" for k in range(len(names)))), *args, **kwargs)
+            bound.apply_defaults()
+            for p in params:
+                bound.arguments[p] = f"c{names.index(bound.arguments[p])}"
+            out = operator(*bound.args, **bound.kwargs)
+            new = [c for c in out.columns if not re.fullmatch(r"c\d+", c)]
+            return out.select(*(F.col(f"c{k}").alias(x) for k, x in enumerate(names) if x not in new), *new)
+
+        return run
+
+    return decorate
