@@ -214,3 +214,167 @@ def windows_of_events(src):
     from .streaming.windows import tumbling
 
     return _cents(tumbling(src.node(shape("Event")).select("time", "type", "value"), "time", "1 hour", ["type"]), "total")
+
+
+# Over quads: the same tables as RDF-style statements, so paths, triples, graphs and changes have something to work on.
+
+
+def _quads(src, *shapes: str):
+    from .sources.mapped import MappedSource
+    from .sources.quads import QuadSource
+
+    some = MappedSource({s: src.mappings[s] for s in shapes}, src.catalog)
+    return QuadSource(some.quads(), src.catalog)
+
+
+def _store(src, *shapes: str):
+    from .plans.mutations import Store
+
+    return Store(_quads(src, *shapes).quads, src.catalog)
+
+
+@query("SELECT 'urn:Nation:' || n_nationkey AS id, n_name AS name, r_name AS region FROM nation JOIN region ON n_regionkey = r_regionkey")
+def quads_nested_paths(src):
+    df = shape("Nation").select(lambda n: [n.name, n.region.name]).df(_quads(src, "Region", "Nation"))
+    return df.select("id", "name", F.col("region.name").alias("region"))
+
+
+@query("SELECT 'urn:Region:' || r_regionkey AS s, 'urn:Customer:' || c_custkey AS o FROM region JOIN nation ON n_regionkey = r_regionkey JOIN customer ON c_nationkey = n_nationkey")
+def path_sequence_of_inverses(src):
+    from .paths import parse
+
+    return _quads(src, "Region", "Nation", "Customer").step(parse("^region/^nation", base="urn:w:")).select("s", "o")
+
+
+@query("SELECT DISTINCT 'urn:Nation:' || n_nationkey AS s, o FROM (SELECT n_nationkey, n_name AS o FROM nation UNION ALL SELECT n_nationkey, CAST(n_nationkey AS VARCHAR) FROM nation)")
+def path_alternative(src):
+    from .paths import parse
+
+    return _quads(src, "Nation").step(parse("name|key", base="urn:w:")).select("s", "o")
+
+
+@query("SELECT 'urn:Nation:' || n_nationkey AS s, 'urn:Region:' || n_regionkey AS o FROM nation UNION ALL SELECT 'urn:Nation:' || n_nationkey, 'urn:t' FROM nation WHERE false")
+def path_negated(src):
+    from .paths import parse
+
+    out = _quads(src, "Nation").step(parse("!(name|key|<http://www.w3.org/1999/02/22-rdf-syntax-ns#type>)", base="urn:w:"))
+    return out.select("s", "o")
+
+
+@query("""WITH RECURSIVE e AS (SELECT n_nationkey AS s, (n_nationkey * 2) % 25 AS o FROM nation), c AS (SELECT s, o FROM e UNION SELECT c.s, e.o FROM c JOIN e ON c.o = e.s)
+SELECT CAST(s AS BIGINT) AS s, CAST(o AS BIGINT) AS o FROM c""")
+def path_closure(src):
+    from .operators.closure import transitive_closure
+
+    n = src.node(shape("Nation")).select(F.col("key").cast("bigint").alias("s"), (F.col("key") * 2 % 25).cast("bigint").alias("o"))
+    return transitive_closure(n)
+
+
+@query("SELECT 'urn:w:' || 'region' AS predicate, 'urn:Region:' || n_regionkey AS object FROM nation WHERE n_nationkey = 7 UNION ALL SELECT 'urn:w:name', n_name FROM nation WHERE n_nationkey = 7 UNION ALL SELECT 'urn:w:key', CAST(n_nationkey AS VARCHAR) FROM nation WHERE n_nationkey = 7 UNION ALL SELECT 'http://www.w3.org/1999/02/22-rdf-syntax-ns#type', 'urn:w:Nation'")
+def triples_of_a_node(src):
+    from .plans.query import Triples
+
+    return Triples().for_node("urn:Nation:7").df(_quads(src, "Nation")).select("predicate", "object")
+
+
+@query("SELECT 'urn:Region:' || r_regionkey AS term FROM region WHERE r_regionkey IN (1, 3)")
+def terms_that_exist(src):
+    from .plans.query import Triples
+
+    return Triples().to_node(["urn:Region:1", "urn:Region:3", "urn:Region:99"]).which_exist(_quads(src, "Nation"))
+
+
+@query("SELECT CASE WHEN r = 1 THEN 'urn:w:Nation' ELSE 'urn:w:Supplier' END AS type, n FROM (SELECT 1 AS r, count(*) AS n FROM nation UNION ALL SELECT 2, count(*) FROM supplier)")
+def grouped_by_type(src):
+    q = _quads(src, "Nation", "Supplier")
+    parts = [shape(s).select(lambda x: {"type": x.type_(), "n": E.count()}).group_by("type").df(q) for s in ("Nation", "Supplier")]
+    return parts[0].unionByName(parts[1])
+
+
+@query("SELECT o_orderstatus AS status, count(DISTINCT o_custkey) AS customers FROM orders GROUP BY 1")
+def grouped_by_many_values(src):
+    return shape("Customer").select(lambda c: {"status": c.orders.status, "customers": E.count()}).where(lambda c: c.orders.is_defined()).group_by("status").df(src)
+
+
+@query("SELECT 'urn:Supplier:' || s_suppkey AS id, CASE WHEN s_acctbal < 0 THEN upper(s_name) ELSE s_name END AS name FROM supplier")
+def update_where_computed(src):
+    store, Supplier = _store(src, "Supplier"), shape("Supplier")
+    Supplier.update(lambda s: {"name": s.name.ucase()}).where(lambda s: s.balance.lt(0.0)).run(store)
+    return Supplier.select(lambda s: s.name).df(store)
+
+
+@query("SELECT 'urn:Supplier:' || s_suppkey AS id, s_name AS name FROM supplier WHERE s_acctbal >= 0")
+def delete_where_condition(src):
+    store, Supplier = _store(src, "Supplier"), shape("Supplier")
+    Supplier.delete_where(lambda s: s.balance.lt(0.0)).run(store)
+    return Supplier.select(lambda s: s.name).df(store)
+
+
+@query("SELECT 'urn:Nation:' || n_nationkey AS id, CASE WHEN n_regionkey = 1 THEN NULL ELSE 'urn:Region:' || n_regionkey END AS region FROM nation")
+def delete_takes_links_along(src):
+    store = _store(src, "Region", "Nation")
+    shape("Region").delete("urn:Region:1").run(store)
+    return shape("Nation").select(lambda n: n.region).df(store).select("id", F.col("region.id").alias("region"))
+
+
+@query("SELECT 'urn:Region:' || r_regionkey AS id, r_name AS name FROM region UNION ALL SELECT 'urn:Region:new', 'ATLANTIS'")
+def create_and_read_back(src):
+    store, Region = _store(src, "Region"), shape("Region")
+    Region.create({"__id": "urn:Region:new", "name": "ATLANTIS", "key": 99}).run(store)
+    return Region.select(lambda r: r.name).df(store)
+
+
+@query("SELECT 'urn:Supplier:' || s_suppkey AS focus, CAST(s_acctbal AS VARCHAR) AS value FROM supplier WHERE s_acctbal < 0")
+def validation_report(src):
+    from .operators.validate import validate_source
+    from .shapes import Catalog, Shape, literal
+
+    strict = Shape("Solvent", "urn:w:Supplier", [literal("balance", datatype="double", base="urn:w:", min_inclusive=0.0)], catalog=Catalog())
+    return validate_source(_quads(src, "Supplier"), strict).select("focus", "value")
+
+
+@query("SELECT 'urn:Nation:' || n_nationkey AS id FROM nation WHERE n_nationkey >= 10")
+def graph_scope(src):
+    from .sources.quads import QuadSource
+
+    q = _quads(src, "Nation").quads
+    graph = F.when(F.substring_index("s", ":", -1).cast("int") >= 10, "urn:g:high").otherwise("urn:g:low")
+    return shape("Nation").select().from_("urn:g:high").df(QuadSource(q.withColumn("g", graph), src.catalog))
+
+
+@query("SELECT c_custkey AS id, c_name AS name FROM customer WHERE c_acctbal > 9000 AND EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F') ORDER BY c_name DESC LIMIT 10")
+def wire_envelope(src):
+    from .plans.wire import from_json
+
+    return from_json({
+        "v": "1.8", "shape": "urn:shape:Customer", "fields": ["name"], "where": {"balance": {">": 9000}, "orders.some": {"status": "F"}}, "sortBy": [{"name": "DESC"}], "limit": 10,
+    }, src.catalog).df(src)
+
+
+@query("SELECT s_suppkey AS id, s_name AS name, n_name AS nation FROM supplier JOIN nation ON s_nationkey = n_nationkey")
+def field_sets_and_preload(src):
+    from .plans.query import FieldSet
+
+    card = FieldSet.for_(shape("Nation"), ["key", "name"]).remove("key")
+    df = shape("Supplier").select(["name"]).preload("nation", card).df(src)
+    return df.select("id", "name", F.col("nation.name").alias("nation"))
+
+
+@query("SELECT doc_id AS id, lang FROM documents WHERE regexp_matches(source, '^src1[0-9]$') AND NOT (lang = 'en') AND n_chars BETWEEN 500 AND 5000")
+def documents_by_condition(src):
+    return shape("Document").select(lambda d: d.lang).where(lambda d: d.source.matches("^src1[0-9]$") & ~d.lang.equals("en") & d.chars.gte(500) & d.chars.lte(5000)).df(src)
+
+
+@query("SELECT lang, count(*) AS documents, count(DISTINCT source) AS sources, max(n_chars) AS longest FROM documents GROUP BY 1")
+def documents_grouped(src):
+    return shape("Document").select(lambda d: {"lang": d.lang, "documents": E.count(), "sources": d.source.count_distinct(), "longest": d.chars.max()}).group_by("lang").df(src)
+
+
+@query("SELECT user_id AS id, event_type AS type, count(*) AS n FROM events GROUP BY 1, 2 HAVING count(*) > 20")
+def events_by_user_and_type(src):
+    return shape("Event").select(lambda e: {"id": e.user, "type": e.type, "n": E.count()}).group_by("id", "type").having("n", lambda n: n.gt(20)).df(src)
+
+
+@query("SELECT p_partkey AS id, p_brand AS brand FROM part WHERE p_size >= 10 AND p_size < 20 AND (p_retailprice > 990 OR p_type LIKE '%D')")
+def boolean_conditions(src):
+    return shape("Part").select(lambda p: p.brand).where(lambda p: (p.size >= 10) & (p.size < 20) & (p.price.gt(990.0) | p.type.ends_with("D"))).df(src)
