@@ -119,6 +119,7 @@ class Frame:
 class Planner:
     def __init__(self, source, context: dict | None = None):
         self.source, self.context, self.names = source, context or {}, counter()
+        self.everything = False  # whether the roots are all nodes of their shape
 
     # Schema
     def property(self, shape: Shape | None, label: str) -> Property:
@@ -283,12 +284,15 @@ class Planner:
     # Results
     def frame(self, q: Select) -> DataFrame:
         if q.kind == "count":
-            return self.roots(q).df.agg(F.count_distinct("id").alias("count"))
+            roots = self.roots(q)
+            # A scan gives each node once; only joins that fan out repeat it.
+            return roots.df.agg((F.count_distinct("id") if roots.fans_out else F.count("*")).alias("count"))
         if q.kind == "ask":
             return self.roots(q).df.limit(1).agg((F.count("*") > 0).alias("exists"))
         if q.keys is not None:
             return self.grouped(q)
         frame = self.roots(q)
+        self.everything = q.condition is None and not q.minuses and q.subject is None and q.subjects is None and q.limit_ is None and q.offset_ is None
         # What a computed field walks must exist; its last value may be missing.
         computed = {}
         for f in q.fields:
@@ -464,7 +468,10 @@ class Planner:
             on = [node]
             parent = [f"k{next(self.names)}"]
             edge = self.edge(shape, prop, step, graphs)
-            pairs = edge.select(F.col("s").alias(parent[0]), F.col("o").alias(member)).join(out.select(F.col(node).alias("pk")).distinct(), F.col(parent[0]) == F.col("pk"), "left_semi")
+            pairs = edge.select(F.col("s").alias(parent[0]), F.col("o").alias(member))
+            if not self.everything or node != "id":
+                # Only what hangs on the nodes at hand is aggregated.
+                pairs = pairs.join(out.select(F.col(node).alias("pk")), F.col(parent[0]) == F.col("pk"), "left_semi")
             flat_ = None
         if children or prop.is_relation:
             if not children:
@@ -528,7 +535,13 @@ class Planner:
         named = [(n, f"gk{k}") for k, (n, _) in enumerate(keys)]
         df = df.select("*", *(c.alias(g) for (_, c), (_, g) in zip(keys, named, strict=True)), *(v.alias(f"v_{n}") for n, _, v, _ in columns))
         sums = [(n, a) for n, kind, _, a in columns if kind in ("SUM", "AVG")]
-        out = df.groupBy(*(g for _, g in named)).agg(*(aggregate(kind, F.col(f"v_{n}")).alias(n) for n, kind, _, _ in columns if kind not in ("SUM", "AVG") or not frame.fans_out) or [F.count("*").alias("unused")])
+        members = lambda a: isinstance(a.arg, Node) or isinstance(a.arg, Path) and not a.arg.steps
+
+        def total(kind: str, n: str, a: Agg) -> Column:
+            return F.count("*") if kind == "COUNT" and members(a) and not frame.fans_out else aggregate(kind, F.col(f"v_{n}"))
+
+        now = [total(kind, n, a).alias(n) for n, kind, _, a in columns if kind not in ("SUM", "AVG") or not frame.fans_out]
+        out = df.groupBy(*(g for _, g in named)).agg(*(now or [F.count("*").alias("unused")]))
         if frame.fans_out:
             # Sums are over (member, value) pairs, not over rows that other paths have multiplied.
             for n, a in sums:
