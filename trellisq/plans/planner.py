@@ -80,8 +80,10 @@ class Frame:
                 self.df = self.df.where(F.col(column).isNotNull())
         else:
             column, s = self.fresh(), self.fresh()
-            edge = self.planner.edge(shape, prop, step, self.graphs).select(F.col("s").alias(s), F.col("o").alias(column))
+            edge, names = self.planner.edge_and_node(shape, prop, step, self.graphs, s, column)
             self.df = self.df.join(edge, F.col(parent) == F.col(s), how).drop(s)
+            if names is not None:
+                self.inlined[key] = names
             self.fans_out = True
         self.ids[key] = column
         if how == "inner":
@@ -136,13 +138,23 @@ class Planner:
 
     def edge(self, shape: Shape | None, prop: Property, step: Step, graphs) -> DataFrame:
         """(s, o), narrowed by the step's filter; the filter's own properties may be missing, its hops may not."""
-        out = self.source.edge(shape, prop, graphs)
         if step.where is None:
-            return out
-        frame = Frame(self, out.select(F.col("s").alias("fs"), F.col("o").alias("fo")), step.scope, "fo", self.value_shape(shape, prop, step), graphs)
+            return self.source.edge(shape, prop, graphs)
+        plain, names = self.edge_and_node(shape, prop, Step(step.label, step.cast), graphs, "fs", "fo")
+        frame = Frame(self, plain, step.scope, "fo", self.value_shape(shape, prop, step), graphs)
+        if names is not None:
+            frame.inlined[(step.scope, ())] = names
         self.filter(frame, step.where)
         return frame.df.select(F.col("fs").alias("s"), F.col("fo").alias("o")).distinct()
 
+    def edge_and_node(self, shape: Shape | None, prop: Property, step: Step, graphs, s: str, o: str) -> tuple[DataFrame, dict[str, str] | None]:
+        """(s, o) by the names given and, where edge and node are one table, the columns of the node's inline values."""
+        table = self.source.edge_node(shape, step.label) if step.where is None and step.cast is None and shape is not None and graphs is None else None
+        if table is None:
+            return self.edge(shape, prop, step, graphs).select(F.col("s").alias(s), F.col("o").alias(o)), None
+        names = {c: f"v{next(self.names)}" for c in table.columns if c not in ("s", "o")}
+        return table.select(F.col("s").alias(s), F.col("o").alias(o), *(F.col(c).alias(n) for c, n in names.items())), names
+
     # Context
     def resolved(self, ctx: Ctx):
         if ctx.key not in self.context or self.context[ctx.key] is None:
@@ -216,9 +228,16 @@ class Planner:
         prop = self.property(shape, step.label)
         keys = {c: frame.fresh() for c in outer}
         member = frame.fresh()
-        rows = frame.df.select(*(F.col(c).alias(n) for c, n in keys.items())).distinct()
-        edge = self.edge(shape, prop, step, frame.graphs).select(F.col("s").alias("qs"), F.col("o").alias(member))
-        body = Frame(self, rows.join(edge, F.col(keys[first]) == F.col("qs")).drop("qs"), q.scope, member, self.value_shape(shape, prop, step), frame.graphs)
+        if len(keys) == 1:
+            # The body depends on nothing but where the edge starts: it is evaluated on the edges themselves.
+            start, names = self.edge_and_node(shape, prop, step, frame.graphs, keys[first], member)
+        else:
+            rows = frame.df.select(*(F.col(c).alias(n) for c, n in keys.items())).distinct()
+            edge, names = self.edge_and_node(shape, prop, step, frame.graphs, "qs", member)
+            start = rows.join(edge, F.col(keys[first]) == F.col("qs")).drop("qs")
+        body = Frame(self, start, q.scope, member, self.value_shape(shape, prop, step), frame.graphs)
+        if names is not None:
+            body.inlined[(q.scope, ())] = names
         for (scope, steps), column in {**frame.ids, **frame.values}.items():
             if column in keys and column != first or (scope, steps) == (q.path.scope, ()) and column == first:
                 body.values.setdefault((scope, steps), keys[column])
@@ -448,7 +467,11 @@ class Planner:
             if not children:
                 value = F.when(F.col(column).isNotNull(), F.struct(F.col(column).alias("id")))
                 return out.withColumn(name, value if prop.single else F.when(value.isNotNull(), F.array(value)))
-            # A reference kept as a column: the node it names is joined once for each id.
+            tree = self.simple(to, children)
+            if tree is not None:
+                out, value = self.struct_of(out, column, to, tree)
+                return out.withColumn(name, value if prop.single else F.when(value.isNotNull(), F.array(value)))
+            # A reference kept as a column: the node it names is described once for each id.
             member = f"m{next(self.names)}"
             ids = out.select(F.col(column).alias(member)).where(F.col(member).isNotNull()).distinct()
             inner = self.fields(ids, [member], to, children, graphs, {})
@@ -456,7 +479,7 @@ class Planner:
             rows = inner.select(F.col(member).alias("ri"), body.alias("rv"))
             out = out.join(rows, F.col(column) == F.col("ri"), "left").drop("ri")
             return out.withColumn(name, F.col("rv") if prop.single else F.when(F.col("rv").isNotNull(), F.array("rv"))).drop("rv")
-        member = f"m{next(self.names)}"
+        member, member_has = f"m{next(self.names)}", None
         if is_bound:
             frame, bound, at = flat
             carried = [frame.ids[(next(iter(frame.ids))[0], ())], *(bound[at[: k + 1]] for k in range(len(at)))]
@@ -467,8 +490,8 @@ class Planner:
         else:
             on = [node]
             parent = [f"k{next(self.names)}"]
-            edge = self.edge(shape, prop, step, graphs)
-            pairs = edge.select(F.col("s").alias(parent[0]), F.col("o").alias(member))
+            pairs, names = self.edge_and_node(shape, prop, step, graphs, parent[0], member)
+            member_has = names
             if not self.everything or node != "id":
                 # Only what hangs on the nodes at hand is aggregated.
                 pairs = pairs.join(out.select(F.col(node).alias("pk")), F.col(parent[0]) == F.col("pk"), "left_semi")
@@ -476,8 +499,8 @@ class Planner:
         if children or prop.is_relation:
             if not children:
                 value = F.struct(F.col(member).alias("id"))
-            elif is_bound:
-                pairs = self.fields(pairs, [*parent, member], to, children, graphs, {}, flat_)
+            elif is_bound or member_has is not None:
+                pairs = self.fields(pairs, [*parent, member], to, children, graphs, dict(member_has or {}), flat_)
                 value = F.struct(F.col(member).alias("id"), *(F.col(x) for x in dict.fromkeys(self._names(children))))
             else:
                 inner = self.fields(pairs.select(F.col(member).alias("ni")).distinct(), ["ni"], to, children, graphs, {})
@@ -498,6 +521,55 @@ class Planner:
         out = out.join(rows, [F.col(a) == F.col(b) for a, b in zip(on, parent, strict=True)], "left").drop(*parent)
         return out.withColumn(name, F.col(f"r_{name}") if prop.single else F.coalesce(F.col(f"r_{name}"), F.array().cast(dict(rows.dtypes)[f"r_{name}"]))).drop(f"r_{name}")
 
+    def simple(self, shape: Shape | None, fields: list[Field]) -> list[tuple] | None:
+        """(name, step, property, nested) of fields that are all single inline values, nested ones too; else None."""
+        if shape is None:
+            return None
+        slots: dict[str, tuple] = {}
+        for f in fields:
+            what = f.what
+            path, inner = (what.path, what.fields) if isinstance(what, SubSelect) else (what, None)
+            if not isinstance(path, Path) or not path.steps or isinstance(what, SubSelect) and (what.order or what.limit_ is not None or what.offset_ is not None):
+                return None
+            step = path.steps[0]
+            if step.where is not None or not self.source.inline(shape, step.label) or len(path.steps) > 1 and f.custom:
+                return None
+            rest = None
+            if len(path.steps) > 1:
+                below = Path(Scope(None), path.steps[1:], path.shape, path.prop)
+                rest = [Field(path.steps[-1].label, below if inner is None else SubSelect(below, inner))]
+            elif inner is not None:
+                rest = list(inner)
+            name = f.name if len(path.steps) == 1 else step.label
+            known = slots.get(name)
+            if known is not None and rest is not None and known[1] is not None:
+                known[1].extend(rest)
+            else:
+                slots[name] = (step, rest)
+        out = []
+        for name, (step, rest) in slots.items():
+            prop = self.property(shape, step.label)
+            nested = None if rest is None else self.simple(self.value_shape(shape, prop, step), rest)
+            if rest is not None and nested is None:
+                return None
+            out.append((name, step, prop, nested))
+        return out
+
+    def struct_of(self, out: DataFrame, column: str, shape: Shape, tree: list[tuple]) -> tuple[DataFrame, Column]:
+        """The node that a column names as a struct: its table joined by its key, one row for one row."""
+        table = self.source.node(shape)
+        names = {c: f"v{next(self.names)}" for c in table.columns}
+        out = out.join(table.select(*(F.col(c).alias(n) for c, n in names.items())), F.col(column) == F.col(names["id"]), "left").drop(names["id"])
+        parts = []
+        for name, step, prop, nested in tree:
+            here = F.col(names[step.label])
+            if nested is not None:
+                out, value = self.struct_of(out, names[step.label], self.value_shape(shape, prop, step), nested)
+            else:
+                value = F.when(here.isNotNull(), F.struct(here.alias("id"))) if prop.is_relation else here
+            parts.append((value if prop.single else F.when(here.isNotNull(), F.array(value))).alias(name))
+        return out, F.when(F.col(column).isNotNull(), F.struct(F.col(column).alias("id"), *parts))
+
     def windowed(self, pairs: DataFrame, parent: list[str], member: str, to: Shape | None, sub: SubSelect, graphs) -> DataFrame:
         order = []
         for e, direction in sub.order:

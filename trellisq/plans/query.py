@@ -111,7 +111,7 @@ def _unique(fields: list[Field]) -> list[Field]:
 
 
 def fields_of_component(component, path: Path) -> list[Field]:
-    what = getattr(component, "fields", None) or getattr(component, "query", None) or component
+    what = component if isinstance(component, Select) else getattr(component, "query", None) or getattr(component, "fields", None) or component
     inner = Path(Scope(path.shape), (), path.shape, path.prop)
     if isinstance(what, Select):
         return rescoped(what.fields, what.root, inner)

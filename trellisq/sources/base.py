@@ -35,6 +35,10 @@ class Source:
         """(id, a column for each inline property)."""
         return None
 
+    def edge_node(self, shape: Shape, label: str) -> DataFrame | None:
+        """(s, o, a column for each inline property of o), if a relation's members keep the way back in their own table: edge and node are one scan."""
+        return None
+
     def step(self, path: PathExpr, graphs: tuple[str, ...] | None = None) -> DataFrame:
         """(s, o, kind, datatype, lang) along one predicate or several, as a set."""
         match path:

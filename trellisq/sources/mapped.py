@@ -54,6 +54,14 @@ class MappedSource(Source):
         m = self._mapping(shape)
         return m.table.select(self._id(m).alias("id"), *(F.col(c).alias(label) for label, c in m.columns.items()))
 
+    def edge_node(self, shape: Shape, label: str) -> DataFrame | None:
+        m = self._mapping(shape)
+        if label not in m.inverse or label in m.columns:
+            return None
+        name, back = m.inverse[label]
+        other = self.mappings[name]
+        return other.table.select(F.col(other.columns[back]).alias("s"), self._id(other).alias("o"), *(F.col(c).alias(x) for x, c in other.columns.items())).where("s is not null")
+
     def edge(self, shape: Shape, prop: Property, graphs=None) -> DataFrame:
         m = self._mapping(shape)
         if prop.label == "$type":
