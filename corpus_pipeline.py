@@ -24,13 +24,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trellisq.llm import decontaminate, mixing, near_duplicates, quality, sharding
-from trellisq.llm.shared import documents, stored
+from trellisq.llm.shared import documents, small_batches, stored
 
 NAMES = ("doc_id", "text", "lang", "source")
 
 
 def _numbered(docs: DataFrame) -> tuple[DataFrame, dict[str, str], Callable[[DataFrame], DataFrame]]:
     """docs with columns c0, c1, ...; what the operators' columns are called there; and the way back."""
+    small_batches(docs.sparkSession)
     names = docs.columns
     plain = docs.toDF(*(f"c{k}" for k in range(len(names))))
     return plain, {x: f"c{names.index(x)}" for x in NAMES}, lambda df: df.select(*(F.col(f"c{k}").alias(x) for k, x in enumerate(names)))

@@ -54,7 +54,13 @@ def in_bloom(filter_: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return out
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Whole texts go to Python in Arrow batches of so many rows; the default of 10,000 holds tens of MB of text off the heap several times over in each task."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
