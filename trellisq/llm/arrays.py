@@ -18,7 +18,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BLOCK_BYTES = 1 << 21
+#: With its separators a block stays below a power of two, as the tables of powers have such sizes.
+BLOCK_BYTES = (1 << 20) - (1 << 14)
 
 _rng = np.random.Generator(np.random.PCG64(20240517))
 _BYTE_WEIGHTS = _rng.integers(0, 2**64, (2, 256), dtype=np.uint64) | np.uint64(1)
@@ -65,7 +66,7 @@ def _grown(base: int, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i modulo 2**64 for i up to n at least."""
-    return _grown(base, 1 << max(22, int(n).bit_length()))
+    return _grown(base, 1 << max(16, int(n).bit_length()))
 
 
 def blocks(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = BLOCK_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
