@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import arrays as A
-from .shared import bloom_bits, documents, extended, in_bloom, joined_small, stored
+from .shared import any_columns, bloom_bits, documents, extended, in_bloom, joined_small, stored
 
 GRAM = 64
 MOST = 64
@@ -183,6 +183,15 @@ def repeated_starts(anchors: np.ndarray, pieces: list[bytes], offset: np.ndarray
     return np.concatenate(rows), np.concatenate(first), np.concatenate(last)
 
 
+def _told_apart(h: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of hashes that occur once, of those that occur several times, and one place for each of the latter."""
+    order = np.lexsort((g, h))
+    new = np.flatnonzero(np.concatenate([np.ones(min(1, len(h)), bool), (h[order][1:] != h[order][:-1]) | (g[order][1:] != g[order][:-1])]))
+    n = np.diff(np.concatenate([new, [len(h)]]))
+    each = np.repeat(n, n)
+    return order[each == 1], order[each > 1], order[new[n > 1]]
+
+
 def repeated_strings(docs: DataFrame, length: int = 400, most: int = MOST, bloom: int = BLOOM_BITS) -> DataFrame:
     """(_sx_row, _sx_whole, _sx_starts): first and last starts of repeated strings in the text, or whole if it has a copy. docs: _sx_row, _sx_text."""
     sc = docs.sparkSession.sparkContext
@@ -217,11 +226,23 @@ def repeated_strings(docs: DataFrame, length: int = 400, most: int = MOST, bloom
             if len(k):
                 size = r.hi[k] - r.lo[k] + 1
                 start = np.repeat(r.lo[k], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-                doc, n = np.repeat(r.doc[k], size), len(start)
+                doc = np.repeat(r.doc[k], size)
                 h, g = A.between(r.sums, start, start + length), A.between(A.prefix_sums(r.raw, 1), start, start + length, 1)
-                for a in range(0, n, 1 << 16):
-                    b = min(n, a + (1 << 16))
-                    yield A.table(anchor=null(b - a, pa.int64()), row=ids[doc[a:b]], first=(start - r.offset[doc])[a:b].astype(np.int32), offset=null(b - a, pa.int32()), count=null(b - a, pa.int32()), piece=null(b - a, pa.binary()), h=A.signed(h[a:b]), g=A.signed(g[a:b]))
+                once, several, example = _told_apart(h, g)
+                # What repeats within the block is known to repeat: its places go out as ranges, and one row tells other blocks of it.
+                several = several[np.argsort(start[several])]
+                at, of = start[several], doc[several]
+                new = np.flatnonzero(np.concatenate([np.ones(min(1, len(at)), bool), (at[1:] != at[:-1] + 1) | (of[1:] != of[:-1])]))
+                last = np.concatenate([new[1:], [len(at)]])[: len(new)] - 1
+                m = len(new)
+                yield A.table(anchor=null(m, pa.int64()), row=ids[of[new]], first=(at[new] - r.offset[of[new]]).astype(np.int32), offset=null(m, pa.int32()), count=(last - new + 1).astype(np.int32), piece=null(m, pa.binary()), h=null(m, pa.int64()), g=null(m, pa.int64()))
+                row = pa.concat_arrays([pa.array(ids[doc[once]], pa.int64()), null(len(example), pa.int64())])
+                first = np.concatenate([(start - r.offset[doc])[once], np.zeros(len(example), np.int64)]).astype(np.int32)
+                both = np.concatenate([once, example])
+                for a in range(0, len(both), 1 << 16):
+                    n = min(len(both) - a, 1 << 16)
+                    k = both[a : a + n]
+                    yield A.table(anchor=null(n, pa.int64()), row=row.slice(a, n), first=first[a : a + n], offset=null(n, pa.int32()), count=null(n, pa.int32()), piece=null(n, pa.binary()), h=A.signed(h[k]), g=A.signed(g[k]))
 
     found = stored(rest.mapInArrow(runs, "anchor long, row long, first int, offset int, count int, piece binary, h long, g long"))
 
@@ -258,13 +279,15 @@ def repeated_strings(docs: DataFrame, length: int = 400, most: int = MOST, bloom
 
     rows = found.where("anchor is not null").select("anchor", "row", "first", "offset", "count", "piece")
     sorted_ = rows.repartition("anchor").sortWithinPartitions("anchor", "row", "first").mapInArrow(compared, "row long, lo int, hi int")
+    known = found.where("anchor is null and h is null").select("row", F.col("first").alias("lo"), (F.col("first") + F.col("count") - 1).alias("hi"))
     strings = found.where("h is not null").select("h", "g", "row", F.col("first").alias("lo"))
     often = strings.groupBy("h", "g").agg(F.count("*").alias("n")).where("n > 1").select("h", "g")
-    counted = strings.join(often, ["h", "g"]).select("row", "lo", F.col("lo").alias("hi"))
-    starts = sorted_.unionAll(counted).groupBy(F.col("row").alias("_sx_row")).agg(F.collect_set(F.struct("lo", "hi")).alias("_sx_starts")).withColumn("_sx_whole", F.lit(False))
+    counted = strings.where("row is not null").join(often, ["h", "g"]).select("row", "lo", F.col("lo").alias("hi"))
+    starts = sorted_.unionAll(counted).unionAll(known).groupBy(F.col("row").alias("_sx_row")).agg(F.collect_set(F.struct("lo", "hi")).alias("_sx_starts")).withColumn("_sx_whole", F.lit(False))
     return starts.select("_sx_row", "_sx_whole", "_sx_starts").unionAll(copies.select("_sx_row", F.lit(True), F.lit(None))).groupBy("_sx_row").agg(F.max("_sx_whole").alias("_sx_whole"), F.first("_sx_starts", True).alias("_sx_starts"))
 
 
+@any_columns("text", "id_")
 def without_repeated_strings(docs: DataFrame, length: int = 400, text: str = "text", id_: str = "doc_id", **settings) -> DataFrame:
     """docs with n_bytes, n_removed, n_spans (maximal removed runs) and kept_bytes (binary, empty for a null text)."""
     docs = docs.drop("n_bytes", "n_removed", "n_spans", "kept_bytes")
