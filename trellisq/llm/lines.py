@@ -7,8 +7,9 @@ compare and keep everything.
 
 Counts are pre-aggregated by (host, 128-bit hash of the line).  A host has at
 most (lines a page) * 100 / percent boilerplate lines on average, so they come
-back as one short list a host; pages are joined to it by host, which Spark may
-split where one host has very many pages, and are never exploded again.
+back as one short list a host.  Few hosts' lists are broadcast after they were counted; else
+pages are joined to them by host, which Spark may split where one host has very many
+pages.  Pages are never exploded again.  Names that begin with _ln_ are reserved.
 
 Edge cases: a null or unreadable URL belongs to the host ''; a null page has no
 lines; lines are trimmed and empty ones are no lines; repeated rows count as
@@ -21,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import documents
+from .shared import documents, joined_small, stored
 
 COLUMNS = ("host", "lines", "n_lines", "n_removed", "kept_text")
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
@@ -48,7 +49,6 @@ def _print(line: Column) -> Column:
 
 def without_boilerplate(pages: DataFrame, group: Column, lines: Column, percent: int = 50, min_pages: int = 4) -> DataFrame:
     """pages with host (the group), lines, n_lines, n_removed and kept_text (the lines that stay, joined by newlines)."""
-    pages = pages.drop(*(c for c in COLUMNS if c in pages.columns and c not in ("lines",)))
     read = pages.withColumns({"_ln_host": group, "_ln_lines": lines})
     totals = read.groupBy("_ln_host").agg(F.count("*").alias("_ln_pages")).where(F.col("_ln_pages") >= min_pages)
     counts = (
@@ -58,7 +58,7 @@ def without_boilerplate(pages: DataFrame, group: Column, lines: Column, percent:
         .where(F.col("n") * 100 > min_pages * percent)
     )
     frequent = counts.join(totals, "_ln_host").where(F.col("n") * 100 > F.col("_ln_pages") * percent).groupBy("_ln_host").agg(F.collect_set("line").alias("_ln_bad"))
-    both = read.join(frequent, "_ln_host", "left")
+    both = joined_small(read, stored(frequent), ["_ln_host"], "left", rows=50_000)
     kept = F.when(F.col("_ln_bad").isNull(), F.col("_ln_lines")).otherwise(F.filter("_ln_lines", lambda x: ~F.array_contains("_ln_bad", _print(x))))
     out = both.withColumn("_ln_kept", kept)
     names = [c for c in pages.columns if c not in COLUMNS]
