@@ -25,7 +25,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import any_columns, documents
+from .shared import any_columns, documents, stored
 
 #: The patterns of the base kinds; assign and hex matches are then held to the least lengths.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -63,20 +63,31 @@ def base_spans(text: Column) -> Column:
     return F.concat(_spans(text, ASSIGN, 0, "assign", 2, LEAST_VALUE), _spans(text, ACCESS, 1, "access"), _spans(text, HEX, 2, "hex"))
 
 
-def _samples(marked: DataFrame, sample: int) -> DataFrame:
-    """(text, secret) labelled strings of a bounded sample of texts."""
-    first = lambda df: df.orderBy(F.xxhash64("text"), "text").limit(sample)
-    secret = first(marked.where(F.size("base") > 0)).select(F.explode("base").alias("s"), "text").select(
+def _samples(texts: DataFrame, sample: int) -> DataFrame:
+    """(token, secret) labelled strings of a bounded sample of different texts. texts: text.
+
+    Hashes alone are sorted for the sample; then only the texts below the last hash
+    taken are read out, one of each, so no task gathers more than the sample.
+    """
+    h = F.xxhash64("text")
+    light = stored(texts.select(h.alias("h"), (F.size(base_spans(F.col("text"))) > 0).alias("has")).groupBy("h").agg(F.max("has").alias("has")))
+    parts = []
+    for has in (True, False):
+        last = light.where(F.col("has") == has).select("h").orderBy("h").limit(sample).agg(F.max("h")).first()[0]
+        chosen = texts.where(h <= F.lit(last if last is not None else -(1 << 63))).groupBy(h.alias("h")).agg(F.first("text").alias("text"))
+        chosen = chosen.withColumn("base", base_spans(F.col("text")))
+        parts.append(chosen.where(F.size("base") > 0 if has else F.size("base") == 0))
+    secret = parts[0].select(F.explode("base").alias("s"), "text").select(
         F.regexp_extract(F.substr("text", F.col("s.start") + 1, F.col("s.end") - F.col("s.start")), r"([A-Za-z0-9+/_=-]+)$", 1).alias("token"), F.lit(1).alias("secret"))
-    ordinary = first(marked.where(F.size("base") == 0)).select(F.explode(F.regexp_extract_all("text", F.lit(r"(?<![A-Za-z0-9_-])(?:[A-Z]?[a-z]+|[A-Z]+)(?:[_-](?:[A-Z]?[a-z]+|[A-Z]+))*(?![A-Za-z0-9_-])"), F.lit(0))).alias("token"), F.lit(0).alias("secret"))
+    ordinary = parts[1].select(F.explode(F.regexp_extract_all("text", F.lit(r"(?<![A-Za-z0-9_-])(?:[A-Z]?[a-z]+|[A-Z]+)(?:[_-](?:[A-Z]?[a-z]+|[A-Z]+))*(?![A-Za-z0-9_-])"), F.lit(0))).alias("token"), F.lit(0).alias("secret"))
     return secret.unionAll(ordinary).where(F.length("token") >= 3)
 
 
-def model(marked: DataFrame, sample: int = SAMPLE) -> list[float] | None:
-    """Log ratios by (first, second) character, row by row; None if there is nothing to learn from. marked: text, base."""
+def model(texts: DataFrame, sample: int = SAMPLE) -> list[float] | None:
+    """Log ratios by (first, second) character, row by row; None if there is nothing to learn from. texts: text."""
     n = len(ALPHABET)
     pair = F.sequence(F.lit(1), F.length("token") - 1)
-    bigrams = _samples(marked, sample).select("secret", F.explode(F.transform(pair, lambda i: F.substr("token", i, F.lit(2)))).alias("pair")).groupBy("secret", "pair").count()
+    bigrams = _samples(texts, sample).select("secret", F.explode(F.transform(pair, lambda i: F.substr("token", i, F.lit(2)))).alias("pair")).groupBy("secret", "pair").count()
     counts = [[[0.5] * n for _ in range(n)] for _ in range(2)]
     seen = [0, 0]
     for r in bigrams.collect():  # at most 2 * 67 * 67 rows
@@ -128,7 +139,7 @@ def scanned(docs: DataFrame, text: str = "text", sample: int = SAMPLE, threshold
     """docs with the counts of each kind, base (the base spans) and spans (all), sorted by start, then kind as listed. No shuffle of texts."""
     docs = docs.drop(*COLUMNS)
     body = F.coalesce(F.col(text), F.lit(""))
-    ratios = model(docs.select(body.alias("text")).withColumn("base", base_spans(F.col("text"))), sample)
+    ratios = model(docs.select(body.alias("text")), sample)
     read = docs.withColumn("_se_text", body).withColumn("_se_base", base_spans(F.col("_se_text")))
     read = read.withColumn("_se_more", _added(F.col("_se_text"), F.col("_se_base"), ratios, threshold))
     count = lambda kind: F.size(F.filter("_se_base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
