@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import arrays as A
-from .shared import bloom_bits, documents, extended, in_bloom, joined_small, stored
+from .shared import any_columns, bloom_bits, documents, extended, in_bloom, joined_small, stored
 
 #: Perfect difference sets (every remainder is a difference of two members), by period.
 COVERS = {
@@ -100,14 +100,22 @@ def repeated_windows(docs: DataFrame, window: int, bloom: int = BLOOM_BITS) -> D
             ids, rows = part.column(0).to_numpy(zero_copy_only=False), part.column(2).to_numpy(zero_copy_only=False)
             doc = w.doc[start]
             first, second = (w.windows(x, window, k)[start] if len(start) else np.zeros(0, np.uint64) for k, x in ((0, hashed), (1, hashed)))
-            yield A.table(h=A.signed(first), g=(second >> np.uint64(32)).astype(np.uint32).view(np.int32), id=ids[doc], row=rows[doc], place=(start - w.first[doc]).astype(np.int32))
-
-    places = rest.select("_sd_id", "_sd_text", "_sd_row").mapInArrow(windows, "h long, g int, id long, row long, place int")
+            second = (second >> np.uint64(32)).astype(np.uint32)
+            # A window that occurs several times in a text is one row with all its places.
+            order = np.lexsort((start, second, first, doc))
+            first, second, doc, start = first[order], second[order], doc[order], start[order]
+            new = np.flatnonzero(np.concatenate([np.ones(min(1, len(doc)), bool), (doc[1:] != doc[:-1]) | (first[1:] != first[:-1]) | (second[1:] != second[:-1])]))
+            ends = np.concatenate([new, [len(doc)]]).astype(np.int32)
+            at = pa.ListArray.from_arrays(pa.array(ends), pa.array((start - w.first[doc]).astype(np.int32)))
+            yield A.table(h=A.signed(first[new]), g=second[new].view(np.int32), id=ids[doc[new]], row=rows[doc[new]], places=at)
+
+    places = rest.select("_sd_id", "_sd_text", "_sd_row").mapInArrow(windows, "h long, g int, id long, row long, places array<int>")
     least = places.groupBy("h", "g").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("h", "g", "least")
-    repeated = places.join(least, ["h", "g"]).where("id > least").groupBy(F.col("id").alias("_sd_id"), F.col("row").alias("_sd_row")).agg(F.collect_set("place").alias("_sd_places"))
+    repeated = places.join(least, ["h", "g"]).where("id > least").groupBy(F.col("id").alias("_sd_id"), F.col("row").alias("_sd_row")).agg(F.flatten(F.collect_list("places")).alias("_sd_places"))
     return repeated.withColumn("_sd_whole", F.lit(False)).unionByName(copies.select("_sd_id", "_sd_row", F.array().cast("array<int>").alias("_sd_places"), F.lit(True).alias("_sd_whole")))
 
 
+@any_columns("text", "id_")
 def without_repeats(docs: DataFrame, window: int = 50, text: str = "text", id_: str = "doc_id", bloom: int = BLOOM_BITS) -> DataFrame:
     """docs with n_words, n_removed and kept_text: the words that stay, joined by one space (empty for a null text)."""
     docs = docs.drop("n_words", "n_removed", "kept_text")
