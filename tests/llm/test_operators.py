@@ -177,6 +177,26 @@ def test_disclosing_terms(spark):
     assert all(out[100 + k]["n_term"] == 0 for k in range(30))
 
 
+def test_terms_of_entities_of_few_texts(spark):
+    """An entity of one text is disclosed by terms of this text alone, however far away; one of two texts by terms of both."""
+    talk = "the usual talk " * 10
+    rows = [(1, f"zebrafeld {talk} jane@x.org and bob@x.org met"), (2, f"quorn {talk} ann@y.org"), (3, f"{talk} quorn ann@y.org bob@x.org"), (4, f"met {talk}"), (5, "tal quorn-zebra")]
+    out = {r["doc_id"]: r for r in personal.sanitised(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    hit = lambda k: [rows[k - 1][1][s["start"] : s["end"]] for s in out[k]["spans"] if s["kind"] == "term"]
+    assert hit(1) == ["zebrafeld", "and"] and hit(2) == ["quorn"] and hit(3) == ["quorn"] and hit(4) == [] and hit(5) == ["quorn"]
+    # Brute force over many texts and entities.
+    import random
+
+    r = random.Random(5)
+    many = [(k, " ".join([r.choice("abcdefghijklmnopqrstuvwxyz") * r.randint(1, 9) for _ in range(12)] + [f"u{r.randint(0, 30)}@x.org" for _ in range(r.randint(0, 3))])) for k in range(80)]
+    words = {k: {w for w in t.split() if "@" not in w} for k, t in many}
+    names = {k: {w for w in t.split() if "@" in w} for k, t in many}
+    want = {w for w in set().union(*words.values()) for e in set().union(*names.values()) if sum(w in words[k] and e in names[k] for k in words) * 2 >= sum(w in words[k] for k in words) + 1}
+    for x in personal.sanitised(spark.createDataFrame(many, "doc_id long, text string")).collect():
+        assert x["n_term"] == sum(w in want for w in x["text"].split())
+    assert want
+
+
 def test_mixing(docs, rows):
     out = mixing.mixed(docs).collect()
     assert len(out) == len(rows)

@@ -2,20 +2,22 @@
 
 Base kinds (email, ip, card, phone) are found by pattern.  Their values are the
 protected entities.  A term discloses an entity as far as seeing the term tells of
-the entity: of the rows that hold the term, the share that hold it within
-``reach`` words of the entity, P(entity | term).  Terms with at least
-``support`` different texts beside one entity and a share of ``disclosing`` or more are
-added as spans of kind ``term`` wherever they occur in the corpus; in the sanitised text
-those at or above ``removing`` are removed and the others generalised.
-
-Counts cover the whole corpus.  Pairs (entity, term) are pre-aggregated; the
-corpus counts of the terms in question are taken through a Bloom filter of a
-fixed size and then matched exactly; the disclosing terms go out in blocks of
-``block_terms``, one pass each (one is the common case), so no text is shuffled.
+the entity: P(entity | term) over whole texts, estimated as rows with both / (rows with
+the term + ``prior``).  So a term that stands in rows of one entity alone has a share of 1/2 if it is one
+row and the entity is known from this text only, and more with every row; a term of one such row and another
+row without the entity has 1/3.  The least evidence is thus one row with the entity and none against it.
+Terms with a share of ``disclosing`` or more are added as spans of kind ``term`` wherever they
+occur in the corpus; in the sanitised text those at or above ``removing`` (nine rows, none against) are
+removed and the others generalised.
+
+Rows are counted for the whole corpus, and only terms whose rows with any entity reach the share go on.  A term whose
+rows with entities are all one text needs no pairs.  For the others, entities of the same
+texts are one class, and (class, term) is counted from (text, class) and (text, term), joined by hashes; the
+disclosing terms go out in blocks of ``block_terms``, one pass each (one is the common case), so no text is shuffled.
 
 Edge cases: a null text is empty and its sanitised text stays null; base spans of different kinds may
-overlap and all stay, terms never overlap base spans; copies count once for the
-support; no rows give no rows; columns of the input named like an output are replaced.
+overlap and all stay, terms never overlap base spans; equal rows count as
+rows of their own; no rows give no rows; columns of the input named like an output are replaced.
 """
 
 from __future__ import annotations
@@ -107,50 +109,67 @@ class Found:
         return covered[w.end] == covered[w.start]
 
 
-def _near(docs: DataFrame, reach: int) -> DataFrame:
-    """(entity, term, print): terms near an entity, once for a row."""
+def _counted(docs: DataFrame) -> DataFrame:
+    """(term, rows, beside): the rows that hold a term, and those that hold it outside the base spans and hold an entity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in A.blocks(batches):
-            f = Found(texts)
-            if any(f.base):
-                w, h, free, prints = f.words, f.words.hashes(), f.free(), A.text_hashes(texts)
-                rows = set()
-                for d, spans in enumerate(f.base):
-                    for kind, a, b in spans:
-                        value = texts[d][a:b] if kind < 2 else texts[d][a:b].translate(None, _NOT_DIGIT)
-                        entity = int(A.text_hashes([bytes([kind]) + value.lower()])[0])
-                        first = int(np.searchsorted(w.start, w.offset[d] + a)) - reach
-                        last = int(np.searchsorted(w.start, w.offset[d] + b)) + reach
-                        first, last = max(first, int(w.first[d])), min(last, int(w.first[d + 1]))
-                        rows.update((d, entity, x) for x in h[first:last][free[first:last]].tolist())
-                if rows:
-                    d, e, t = (np.array(x, np.uint64) for x in zip(*rows, strict=True))
-                    yield A.table(entity=A.signed(e), term=A.signed(t), print=A.signed(prints[d.astype(np.int64)]))
-
-    return docs.mapInArrow(run, "entity long, term long, print long")
-
-
-def disclosing_terms(docs: DataFrame, reach: int = 8, support: int = 3, disclosing: float = 0.5, bloom: int = BLOOM_BITS) -> DataFrame:
-    """(term, share): hashed terms, and the largest share of their rows beside one entity. docs: text."""
-    together = _near(docs, reach).groupBy("entity", "term", "print").agg(F.count("*").alias("n")).groupBy("entity", "term").agg(F.count("*").alias("texts"), F.sum("n").alias("n"))
-    pairs = stored(together.where(F.col("texts") >= support).groupBy("term").agg(F.max("n").alias("n")))
-    sent = docs.sparkSession.sparkContext.broadcast(bloom_bits(pairs.select(F.col("term").alias("h")), bloom))
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, texts in A.blocks(batches):
-            w = A.Words(texts, A.NON_WORD, lower=True)
-            h = w.hashes()
-            at = np.flatnonzero(in_bloom(sent.value, h))
-            order = np.lexsort((h[at], w.doc[at]))
-            h, doc = h[at][order], w.doc[at][order]
+            f = Found(texts)
+            w, h = f.words, f.words.hashes()
+            beside = f.free() & np.array([bool(x) for x in f.base])[w.doc]
+            order = np.lexsort((~beside, h, w.doc))
+            h, doc = h[order], w.doc[order]
             new = np.ones(len(h), bool)
             new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
-            term, n = np.unique(h[new], return_counts=True)
-            yield A.table(term=A.signed(term), rows=n.astype(np.int64))
+            term, at = np.unique(h[new], return_inverse=True)
+            both = np.bincount(at, beside[order][new], len(term))
+            yield A.table(term=A.signed(term), rows=np.bincount(at, minlength=len(term)).astype(np.int64), beside=both.astype(np.int64))
+
+    return docs.mapInArrow(run, "term long, rows long, beside long").groupBy("term").agg(F.sum("rows").alias("rows"), F.sum("beside").alias("beside"))
+
 
-    rows = docs.mapInArrow(count, "term long, rows long").groupBy("term").agg(F.sum("rows").alias("rows"))
-    return stored(pairs.join(rows, "term").withColumn("share", F.col("n") / F.col("rows")).where(F.col("share") >= disclosing).select("term", "share"))
+def _held(docs: DataFrame, sent) -> DataFrame:
+    """(print, entity, value): once for a row that holds an entity, its entities and those of its terms that the filter may hold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, texts in A.blocks(batches):
+            f = Found(texts)
+            if not any(f.base):
+                continue
+            w, h, prints = f.words, f.words.hashes(), A.text_hashes(texts)
+            free = f.free() & np.array([bool(x) for x in f.base])[w.doc]
+            at = np.flatnonzero(free)
+            at = at[in_bloom(sent.value, h[at])]
+            order = at[np.lexsort((h[at], w.doc[at]))]
+            new = np.ones(len(order), bool)
+            new[1:] = (h[order][1:] != h[order][:-1]) | (w.doc[order][1:] != w.doc[order][:-1])
+            term, doc = h[order][new], w.doc[order][new]
+            owner, values = [], []
+            for d, spans in enumerate(f.base):
+                found = {bytes([k]) + (texts[d][a:b].lower() if k < 2 else texts[d][a:b].translate(None, _NOT_DIGIT)) for k, a, b in spans}
+                owner += [d] * len(found)
+                values += found
+            kind = np.repeat([False, True], [len(term), len(values)])
+            doc = np.concatenate([doc, np.array(owner, np.int64)])
+            yield A.table(print=A.signed(prints[doc]), entity=pa.array(kind), value=A.signed(np.concatenate([term, A.text_hashes(values)])))
+
+    return docs.mapInArrow(run, "print long, entity boolean, value long")
+
+
+def disclosing_terms(docs: DataFrame, prior: float = 1.0, disclosing: float = 0.5, bloom: int = BLOOM_BITS) -> DataFrame:
+    """(term, share): hashed terms, and the largest share of their rows that hold one entity. docs: text."""
+    terms = stored(_counted(docs).where(F.col("beside") >= disclosing * (F.col("rows") + prior)).where("beside > 0"))
+    sent = docs.sparkSession.sparkContext.broadcast(bloom_bits(terms.select(F.col("term").alias("h")), bloom))
+    held = stored(_held(docs, sent).groupBy("print", "entity", "value").agg(F.count("*").alias("n")))
+    near = stored(held.where("not entity").select("print", F.col("value").alias("term"), "n").join(terms, "term"))
+    alone = near.where("n = beside").select("term", "rows", "n")
+    # Entities of the same texts are one class: a text of many entities gives few pairs.
+    texts = held.where("entity").select("value", "print")
+    of = texts.groupBy("value").agg(F.xxhash64(F.count("*"), F.bit_xor("print"), F.bit_xor(F.xxhash64("print"))).alias("class"))
+    classes = texts.join(of, "value").select("print", "class").distinct()
+    pairs = near.where("n < beside").join(classes, "print").groupBy("class", "term").agg(F.first("rows").alias("rows"), F.sum("n").alias("n"))
+    every = alone.unionAll(pairs.select("term", "rows", "n")).groupBy("term").agg((F.max("n") / (F.first("rows") + prior)).alias("share"))
+    return stored(every.where(F.col("share") >= disclosing))
 
 
 @any_columns("text")
