@@ -44,6 +44,21 @@ def test_near_duplicates(docs, rows):
     assert ids == collections.Counter({i: 1 for i, (_, c) in want.items() if c == i} | {None: 1})
 
 
+def test_links_within_components(docs, rows, monkeypatch):
+    """Every link between different texts is counted, in one block or several."""
+    sets = {}
+    for i, t in named(rows):
+        w = corpus.words(corpus.lower(t))
+        sets[i] = frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
+    different = {s for s in sets.values() if s}
+    want = {i: sum(100 * len(s & o) >= 80 * len(s | o) for o in different if o != s) if s else 0 for i, s in sets.items()}
+    assert max(want.values()) > 2
+    for least in (near_duplicates.LINK_SETS, 2):
+        monkeypatch.setattr(near_duplicates, "LINK_SETS", least)
+        for r in near_duplicates.linked(docs, count_links=True).collect():
+            assert r["n_links"] == (None if r["id"] is None else want[r["id"]])
+
+
 def test_parity_parts_lose_no_pair():
     """Any two sets within the allowed difference share a key, whatever their sizes."""
     rng = np.random.Generator(np.random.PCG64(1))

@@ -24,9 +24,13 @@ found join classes to components, and only classes whose components differ
 are compared, sketch by sketch in blocks of bounded size.  So large groups of
 near copies cost a row per member, and no link between components is lost.
 
+Links within components are counted on demand: two similar sets are of one component,
+so the shingle sets of a component are dealt to blocks of bounded size, every pair meets in one block, and
+what leaves a block is a count for each set, not the pairs.
+
 Edge cases: words are lower-cased (A-Z); a text with fewer words than a shingle
 is one shingle; null and empty texts are linked with nothing; rows without an
-id come back with component_id null; rows that share an id are
+id come back with component_id (and n_links) null; rows that share an id are
 one document whose links are those of all its rows; no rows give no rows;
 columns of the input named like an output are replaced.
 """
@@ -49,6 +53,9 @@ PERCENT = 80
 SLOT_BITS = 16
 CHUNK = 1024
 HUB_ROUNDS = 2
+#: Sets, and shingles, that a chunk of a component's sets holds on average.
+LINK_SETS = 256
+LINK_SHINGLES = 1 << 18
 
 
 def difference(a, b, percent: int):
@@ -295,8 +302,69 @@ def _blocks_within(members: DataFrame, percent: int) -> DataFrame:
     return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "c").mapInArrow(run, "a long, b long").distinct()
 
 
-def linked(docs: DataFrame, text: str = "text", id_: str = "doc_id", percent: int = PERCENT) -> DataFrame:
-    """(id, n_shingles, component_id) for each row of docs."""
+def _link_counts(named: DataFrame, classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """(c, n_links): for classes with links, to how many other classes. named: c, least, label (similar classes have one label)."""
+    sized = named.join(classes.select("c", "n"), "c")
+    chunks = F.greatest(F.ceil(F.count("*") / F.lit(LINK_SETS)), F.ceil(F.sum("n") / F.lit(LINK_SHINGLES))).cast("int").alias("chunks")
+    several = sized.groupBy("label").agg(F.count("*").alias("m"), chunks).where("m > 1").drop("m")
+    ids = stored(named.join(several, "label").select(F.col("least").alias("id"), "c", "label", "chunks"))
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in A.blocks(batches, "text"):
+            sets = Sets(texts)
+            keep = np.flatnonzero(A.signed(sets.prints()[0]) == part.column(0).to_numpy())
+            held = pa.array([A.signed(sets.shingles[sets.first[k] : sets.first[k + 1]]) for k in keep.tolist()], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*(part.column(k).take(pa.array(keep)) for k in range(3)), held], names=["c", "label", "chunks", "shingles"])
+
+    sets = joined_small(docs, ids, ["id"], "inner").select("c", "label", "chunks", "text").mapInArrow(own, "c long, label long, chunks int, shingles array<long>")
+    dealt = (
+        stored(sets.dropDuplicates(["c"]))
+        .withColumn("mine", F.pmod(F.xxhash64("c"), F.col("chunks")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+        .select("label", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "c", "shingles")
+    )
+
+    def compare(rows: list[tuple]) -> pa.RecordBatch:
+        rows = sorted(rows, key=lambda r: len(r[5]))
+        apart, mine = rows[0][1] != rows[0][2], np.array([r[3] for r in rows])
+        size = np.array([len(r[5]) for r in rows])
+        first = np.concatenate([[0], np.cumsum(size)])
+        known, dense = np.unique(np.concatenate([r[5] for r in rows]), return_inverse=True)
+        mark, n_links = np.zeros(len(known), bool), np.zeros(len(rows), np.int64)
+        for k in range(len(rows) - 1):
+            hi = int(np.searchsorted(size, size[k] * 100 // percent, side="right"))
+            if hi <= k + 1:
+                continue
+            own = dense[first[k] : first[k + 1]]
+            mark[own] = True
+            both = np.add.reduceat(mark[dense[first[k + 1] : first[hi]]], first[k + 1 : hi] - first[k + 1], dtype=np.int64)
+            mark[own] = False
+            near = 100 * both >= percent * (size[k] + size[k + 1 : hi] - both)
+            if apart:
+                near &= mine[k + 1 : hi] != mine[k]
+            n_links[k] += near.sum()
+            n_links[k + 1 : hi] += near
+        some = np.flatnonzero(n_links)
+        return A.table(c=np.array([r[4] for r in rows], np.int64)[some], n_links=n_links[some])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        for batch in batches:
+            plain, shingles = [x.to_pylist() for x in batch.columns[:5]], batch.column(5)
+            for k, row in enumerate(zip(*plain, strict=True)):
+                if held and held[0][:3] != row[:3]:
+                    yield compare(held)
+                    held = []
+                held.append((*row, np.array(shingles[k].values.to_numpy())))
+        if held:
+            yield compare(held)
+
+    counts = dealt.repartition("label", "i", "j").sortWithinPartitions("label", "i", "j").mapInArrow(run, "c long, n_links long")
+    return counts.groupBy("c").agg(F.sum("n_links").alias("n_links"))
+
+
+def linked(docs: DataFrame, text: str = "text", id_: str = "doc_id", percent: int = PERCENT, count_links: bool = False) -> DataFrame:
+    """(id, n_shingles, component_id) for each row of docs; with count_links also n_links, the number of other shingle sets that are similar to the row's."""
     docs = docs.select(F.col(id_).cast("long").alias("id"), F.col(text).alias("text"))
     sketched = _sketched(docs, percent)
     real = sketched.where("id is not null and n > 0")
@@ -328,9 +396,14 @@ def linked(docs: DataFrame, text: str = "text", id_: str = "doc_id", percent: in
     of_id = real.groupBy("id").agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a < b").drop("b")
     labels = components(links.unionAll(real.join(of_id, "id").select("a", F.col("c").alias("b"))))
     named = classes.join(labels, classes.c == labels.node, "left").select("c", "least", F.coalesce("label", "c").alias("label"))
+    named = stored(named) if count_links else named
     component = named.join(named.groupBy("label").agg(F.min("least").alias("component_id")), "label").select("c", "component_id")
     rows = sketched.select("id", "n", F.when(F.col("n") > 0, F.col("c")).alias("c"))
-    return rows.join(component, "c", "left").select("id", F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"))
+    more = []
+    if count_links:
+        component = component.join(_link_counts(named, classes, docs, percent), "c", "left")
+        more = [F.when(F.col("id").isNotNull(), F.coalesce("n_links", F.lit(0).cast("long"))).alias("n_links")]
+    return rows.join(component, "c", "left").select("id", F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"), *more)
 
 
 @any_columns("text", "id_")
@@ -346,4 +419,4 @@ def deduplicated(docs: DataFrame, text: str = "text", id_: str = "doc_id", perce
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linked(documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
+    return linked(documents(spark, sf_dir), count_links=True).withColumnRenamed("id", "doc_id")
