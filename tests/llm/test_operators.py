@@ -158,6 +158,27 @@ def test_secret_model(spark):
     assert sum(out[5000 + k] for k in range(40)) >= 36 and sum(out[6000 + k] for k in range(40)) <= 2
 
 
+def test_secret_model_short_and_inside(spark):
+    """Keys of 12 to 19 characters, of letters alone, inside paths, and beside base spans are scored by themselves."""
+    import random
+
+    r = random.Random(4)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    rand = lambda n, of=letters + "0123456789": "".join(r.choice(of) for _ in range(n))
+    plain = ["alpha", "request", "handler", "config", "total", "index", "value", "user", "order", "item", "count"]
+    name = lambda n: "_".join(r.choice(plain) for _ in range(n))
+    train = [(k, f"api_key = {rand(32)}") for k in range(150)] + [(1000 + k, " ".join(name(4) for _ in range(20))) for k in range(150)]
+    kinds = {
+        2000: lambda: f"see {rand(16)} now", 3000: lambda: f"see {rand(18, letters)} now", 4000: lambda: f"{name(8)}/{rand(20)}/{name(8)}",
+        5000: lambda: f"{rand(20)}/secret={rand(16)}", 6000: lambda: f"see {name(5)} and {name(2)}/{name(3)}",
+    }
+    test = [(k + j, make()) for k, make in kinds.items() for j in range(40)]
+    frame = spark.createDataFrame(train + test, "doc_id long, text string")
+    out = {x["doc_id"]: x["n_model"] for x in secrets.scanned(frame).collect()}
+    hit = {k: sum(out[k + j] > 0 for j in range(40)) for k in kinds}
+    assert all(hit[k] >= 32 for k in (2000, 3000, 4000, 5000)) and hit[6000] <= 2, hit
+
+
 def test_sharding(docs, rows):
     out = sharding.sharded(docs, shards=4).collect()
     assert len(out) == len(rows)

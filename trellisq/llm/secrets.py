@@ -1,9 +1,11 @@
 """Secret scan: patterns, and two character Markov models compared.  DataFrame operations only.
 
 Base patterns (assign, access, hex) give the first spans.  The method adds
-spans of kind ``model``: runs of token characters that a bigram model of random
-strings explains better than one of ordinary identifiers, by a mean
-log-likelihood ratio above ``threshold``.
+spans of kind ``model``: stretches within runs of 12 or more token characters (``TOKEN``) that a bigram model of random
+strings explains better than one of ordinary identifiers, by a total
+log-likelihood ratio above ``threshold``.  A stretch starts where the running total was last 0 and ends at its
+peak, once the total falls to 0 or by more than ``threshold``, so a key inside a path or
+identifier is found by itself; base spans divide a run.  Stretches without a letter are numbers or rules and are left out.
 
 Both models are trained from labelled samples of this corpus: values that the
 base patterns found are random strings, words in which no pattern matched are ordinary
@@ -32,12 +34,12 @@ ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']
 ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
 LEAST_VALUE = 12
-TOKEN = r"[A-Za-z0-9+/_=-]{20,}"
+TOKEN = r"[A-Za-z0-9+/_=-]{12,}"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-."
 COLUMNS = ("n_assign", "n_access", "n_hex", "n_model", "base", "spans")
 SAMPLE = 2000
-#: Nats a character pair; over the 19 pairs of the shortest token odds of more than 500,000 to 1.
-THRESHOLD = 0.7
+#: Nats in all: odds of more than 500,000 to 1.
+THRESHOLD = 13.3
 SPAN = "array<struct<start:int,rank:int,kind:string,end:int>>"
 
 
@@ -109,25 +111,48 @@ def model(texts: DataFrame, sample: int = SAMPLE) -> list[float] | None:
     return out
 
 
-def _score(token: Column, ratios: list[float]) -> Column:
+def _stretches(base: Column, token: Column, start: Column, ratios: list[float], threshold: float) -> Column:
+    """The spans within a run (a token and where it starts) whose total log ratio is above the threshold."""
     table, n = F.lit(ratios), len(ALPHABET)
     codes = F.transform(F.sequence(F.lit(1), F.length(token)), lambda i: F.position(F.substr(token, i, F.lit(1)), F.lit(ALPHABET)))
     pairs = F.arrays_zip(F.slice(codes, 1, F.size(codes) - 1).alias("a"), F.slice(codes, 2, F.size(codes) - 1).alias("b"))
-    total = F.aggregate(pairs, F.lit(0.0), lambda acc, p: acc + F.element_at(table, (p["a"] - 1) * n + p["b"]))
-    return total / (F.length(token) - 1)
+
+    def ratio(p: Column, k: Column) -> Column:
+        at = start + k
+        blocked = F.exists(base, lambda b: (b["start"] < at + 2) & (at < b["end"]))
+        return F.struct(at.cast("int").alias("at"), F.when(blocked, F.lit(-1e9)).otherwise(F.element_at(table, (p["a"] - 1) * n + p["b"])).alias("ratio"))
+
+    def ended(acc: Column) -> Column:
+        span = F.struct(acc["start"].alias("start"), F.lit(3).alias("rank"), F.lit("model").alias("kind"), acc["end"].alias("end"))
+        return F.when(acc["peak"] > threshold, F.array_append(acc["out"], span)).otherwise(acc["out"])
+
+    def step(acc: Column, p: Column) -> Column:
+        now, after = acc["now"] + p["ratio"], (p["at"] + 1).cast("int")
+        done = (now <= 0) | (acc["peak"] - now > threshold)
+        fresh = F.struct(F.lit(0.0).alias("now"), F.lit(0.0).alias("peak"), after.alias("start"), after.alias("end"), ended(acc).alias("out"))
+        end = F.when(now > acc["peak"], (p["at"] + 2).cast("int")).otherwise(acc["end"])
+        return F.when(done, fresh).otherwise(F.struct(now.alias("now"), F.greatest(acc["peak"], now).alias("peak"), acc["start"].alias("start"), end.alias("end"), acc["out"].alias("out")))
+
+    first = F.struct(F.lit(0.0).alias("now"), F.lit(0.0).alias("peak"), start.alias("start"), start.alias("end"), F.array().cast(SPAN).alias("out"))
+    return F.aggregate(F.transform(pairs, ratio), first, step, ended)
 
 
 def _added(text: Column, base: Column, ratios: list[float] | None, threshold: float) -> Column:
     if ratios is None:
         return F.array().cast(SPAN)
-    found = _spans(text, TOKEN, 3, "model")
+    # Each array is made once: a text can hold thousands of runs.
+    zipped = F.arrays_zip(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)).alias("token"), F.split(text, TOKEN, -1).alias("piece"))
+    runs = F.transform(F.filter(zipped, lambda x: x["token"].isNotNull()), lambda x: F.struct(x["token"].alias("token"), F.length(x["piece"]).alias("gap"), F.length(x["token"]).alias("size")))
 
-    def secret(s: Column) -> Column:
-        token = F.substr(text, s["start"] + 1, s["end"] - s["start"])
-        free = ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-        return free & token.rlike("[0-9]") & token.rlike("[A-Za-z]") & (_score(token, ratios) > threshold)
+    def step(acc: Column, run: Column) -> Column:
+        start = acc["at"] + run["gap"]
+        return F.struct((start + run["size"]).alias("at"), acc["base"].alias("base"), F.concat(acc["out"], _stretches(acc["base"], run["token"], start, ratios, threshold)).alias("out"))
 
-    return F.filter(found, secret)
+    none = F.array().cast(SPAN)
+    first = F.struct(F.lit(0).alias("at"), base.alias("base"), none.alias("out"))
+    found = F.aggregate(runs, first, step, lambda acc: acc["out"])
+    every = F.when(F.regexp_like(text, F.lit(TOKEN)), found).otherwise(none)
+    return F.filter(every, lambda s: F.substr(text, s["start"] + 1, s["end"] - s["start"]).rlike("[A-Za-z]"))
 
 
 def _joined(spans: Column) -> Column:
