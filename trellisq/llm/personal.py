@@ -72,7 +72,7 @@ def base_spans(text: bytes, digits: bool = True) -> list[tuple[int, int, int]]:
     """(kind, start, end) in bytes: leftmost, not overlapping within a kind, what fails its check dropped."""
     out = [(0, a, b) for a, b in _emails(text)] if b"@" in text else []
     if digits:
-        out += [(1, *m.span()) for m in _IP.finditer(text) if all(len(x.lstrip(b"0")) <= 3 and int(x) <= 255 for x in m.groups())]
+        out += [(1, *m.span()) for m in _IP.finditer(text) if all(len(x) <= 3 and int(x or b"0") <= 255 for x in (p.lstrip(b"0") for p in m.groups()))]
         for m in _CARD.finditer(text):
             d = m[0].translate(None, _NOT_DIGIT)
             if 13 <= len(d) <= 19 and luhn(d):
