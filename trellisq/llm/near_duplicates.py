@@ -16,9 +16,9 @@ shingles, so all but d of their parts are equal.
   meet under one key of their band, so nothing is lost.
 * Filter: each set also has a plain bit sketch, one bit flipped for each shingle;
   its Hamming distance bounds the difference again.
-* Verify: the shingle sets themselves, rebuilt from the texts, are compared.
+* Verify: the sets of 64-bit shingle hashes, rebuilt from the texts, are compared.
 
-Equal sets are one class from the start.  Within a key's class list the pairs
+Equal sets (by 128 bits) are one class from the start.  Within a key's class list the pairs
 are not written out: members are first verified against one hub of the list, the links
 found join classes to components, and only classes whose components differ
 are compared, sketch by sketch in blocks of bounded size.  So large groups of
@@ -169,22 +169,34 @@ def _sketched(docs: DataFrame, percent: int) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(_rarity(docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        seen: set[tuple[int, int]] = set()
         for part, texts in A.blocks(batches, "text"):
             sets = Sets(texts)
             one, two = sets.prints()
-            # Copies within a task give their keys once.
+            # Copies within a task give their keys once; rows without an id take no part.
             wanted = np.zeros(len(texts), bool)
-            for k, x in enumerate(one.tolist()):
+            for k in np.flatnonzero(part.column(0).is_valid().to_numpy(zero_copy_only=False)).tolist():
+                x = (int(one[k]), int(two[k]))
                 wanted[k] = x not in seen
                 seen.add(x)
             if len(seen) > 1 << 20:
                 seen.clear()
             doc, key = sets.keys(sent.value, percent, wanted)
             offsets = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=len(texts)))]).astype(np.int32)
-            yield A.table(id=part.column(0), n=sets.size.astype(np.int64), c=A.signed(one), c2=A.signed(two), sketch=pa.array(sets.sketches(), pa.binary()), keys=pa.ListArray.from_arrays(pa.array(offsets), pa.array(A.signed(key))))
+            yield A.table(id=part.column(0), n=sets.size.astype(np.int64), c1=A.signed(one), c2=A.signed(two), sketch=pa.array(sets.sketches(), pa.binary()), keys=pa.ListArray.from_arrays(pa.array(offsets), pa.array(A.signed(key))))
 
-    return stored(docs.mapInArrow(run, "id long, n long, c long, c2 long, sketch binary, keys array<long>"))
+    found = stored(docs.mapInArrow(run, "id long, n long, c1 long, c2 long, sketch binary, keys array<long>"))
+    # Different sets of equal first hashes (a few pairs in 10**10 sets) get names of both hashes.
+    clash = stored(found.where("n > 0").groupBy("c1").agg(F.min("c2").alias("lo"), F.max("c2").alias("hi")).where("lo < hi").select("c1", "lo"))
+    if not clash.limit(1).count():
+        return found.withColumn("c", F.col("c1"))
+    return joined_small(found, clash, ["c1"], "left").withColumn("c", F.when(F.col("c2") != F.col("lo"), F.xxhash64("c1", "c2")).otherwise(F.col("c1"))).drop("lo")
+
+
+def _of_class(sets: Sets, part: pa.RecordBatch) -> np.ndarray:
+    """Which rows are of their class. part: c, c1, c2, ..."""
+    one, two = sets.prints()
+    return (A.signed(one) == part.column(1).to_numpy()) & (A.signed(two) == part.column(2).to_numpy())
 
 
 def _near(na: int, a: bytes, nb: int, b: bytes, percent: int) -> bool:
@@ -218,14 +230,15 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: in
     """The pairs whose shingle sets are similar. The texts of the classes at hand alone are moved."""
     pairs = stored(pairs)
     ends = pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct()
-    ids = stored(classes.join(ends, "c").select(F.col("least").alias("id"), "c"))
+    ids = stored(classes.join(ends, "c").select(F.col("least").alias("id"), "c", "c1", "c2"))
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Of rows that share an id, those that are of the class."""
         for part, texts in A.blocks(batches, "text"):
-            yield part.filter(pa.array(A.signed(Sets(texts).prints()[0]) == part.column(0).to_numpy()))
+            kept = part.filter(pa.array(_of_class(Sets(texts), part)))
+            yield A.table(c=kept.column(0), text=kept.column(3))
 
-    texts = stored(joined_small(docs, ids, ["id"], "inner").select("c", "text").mapInArrow(own, "c long, text string").dropDuplicates(["c"]))
+    texts = stored(joined_small(docs, ids, ["id"], "inner").select("c", "c1", "c2", "text").mapInArrow(own, "c long, text string").dropDuplicates(["c"]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
@@ -304,19 +317,19 @@ def _blocks_within(members: DataFrame, percent: int) -> DataFrame:
 
 def _link_counts(named: DataFrame, classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """(c, n_links): for classes with links, to how many other classes. named: c, least, label (similar classes have one label)."""
-    sized = named.join(classes.select("c", "n"), "c")
+    sized = named.join(classes.select("c", "c1", "c2", "n"), "c")
     chunks = F.greatest(F.ceil(F.count("*") / F.lit(LINK_SETS)), F.ceil(F.sum("n") / F.lit(LINK_SHINGLES))).cast("int").alias("chunks")
     several = sized.groupBy("label").agg(F.count("*").alias("m"), chunks).where("m > 1").drop("m")
-    ids = stored(named.join(several, "label").select(F.col("least").alias("id"), "c", "label", "chunks"))
+    ids = stored(sized.join(several, "label").select(F.col("least").alias("id"), "c", "c1", "c2", "label", "chunks"))
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in A.blocks(batches, "text"):
             sets = Sets(texts)
-            keep = np.flatnonzero(A.signed(sets.prints()[0]) == part.column(0).to_numpy())
+            keep = np.flatnonzero(_of_class(sets, part))
             held = pa.array([A.signed(sets.shingles[sets.first[k] : sets.first[k + 1]]) for k in keep.tolist()], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([*(part.column(k).take(pa.array(keep)) for k in range(3)), held], names=["c", "label", "chunks", "shingles"])
+            yield pa.RecordBatch.from_arrays([*(part.column(k).take(pa.array(keep)) for k in (0, 3, 4)), held], names=["c", "label", "chunks", "shingles"])
 
-    sets = joined_small(docs, ids, ["id"], "inner").select("c", "label", "chunks", "text").mapInArrow(own, "c long, label long, chunks int, shingles array<long>")
+    sets = joined_small(docs, ids, ["id"], "inner").select("c", "c1", "c2", "label", "chunks", "text").mapInArrow(own, "c long, label long, chunks int, shingles array<long>")
     dealt = (
         stored(sets.dropDuplicates(["c"]))
         .withColumn("mine", F.pmod(F.xxhash64("c"), F.col("chunks")).cast("int"))
@@ -368,7 +381,7 @@ def linked(docs: DataFrame, text: str = "text", id_: str = "doc_id", percent: in
     docs = docs.select(F.col(id_).cast("long").alias("id"), F.col(text).alias("text"))
     sketched = _sketched(docs, percent)
     real = sketched.where("id is not null and n > 0")
-    classes = stored(real.groupBy("c").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
+    classes = stored(real.groupBy("c").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("c1").alias("c1"), F.first("c2").alias("c2")))
     keys = real.where(F.size("keys") > 0).select(F.explode("keys").alias("key"), "c")
     whole = Window.partitionBy("key")
     members = stored(keys.withColumns({"lo": F.min("c").over(whole), "hi": F.max("c").over(whole)}).where("lo < hi").select("key", "c").distinct())
@@ -389,7 +402,7 @@ def linked(docs: DataFrame, text: str = "text", id_: str = "doc_id", percent: in
         labels = components(links)
     now = members.join(labels, members.c == labels.node, "left").select("key", "c", F.coalesce("label", "c").alias("label"))
     mixed = now.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size")).where("lo < hi").select("key", "size")
-    now = stored(now.join(mixed, "key").join(classes.drop("least"), "c"))
+    now = stored(now.join(mixed, "key").join(classes.select("c", "n", "sketch"), "c"))
     pairs = stored(_blocks_within(now, percent).join(tested, ["a", "b"], "left_anti"))
     links = links.unionAll(_verified(pairs, classes, docs, percent))
     # Rows that share an id are one document.
@@ -408,13 +421,15 @@ def linked(docs: DataFrame, text: str = "text", id_: str = "doc_id", percent: in
 
 @any_columns("text", "id_")
 def deduplicated(docs: DataFrame, text: str = "text", id_: str = "doc_id", percent: int = PERCENT) -> DataFrame:
-    """docs without those that are linked, directly or not, to one with a smaller id; of rows that share an id one stays."""
+    """docs without those that are linked, directly or not, to one with a smaller id; of rows that share an id the one with the least text stays."""
     gone = stored(linked(docs, text, id_, percent).where("component_id != id").select(F.col("id").alias("_nd_id")).distinct())
     rest = joined_small(docs.withColumn("_nd_id", F.col(id_).cast("long")), gone, ["_nd_id"], "left_anti")
     twice = stored(rest.where("_nd_id is not null").groupBy("_nd_id").count().where("count > 1").select("_nd_id"))
     if twice.limit(1).count():
         once = joined_small(rest, twice, ["_nd_id"], "left_anti")
-        rest = once.unionByName(joined_small(rest, twice, ["_nd_id"], "inner").dropDuplicates(["_nd_id"]))
+        several = joined_small(rest, twice, ["_nd_id"], "inner")
+        of = F.min_by(F.struct(*docs.columns), F.struct(F.col(text), F.xxhash64(*docs.columns))).alias("row")
+        rest = once.select(*docs.columns).unionByName(several.groupBy("_nd_id").agg(of).select("row.*"))
     return rest.select(*docs.columns)
 
 
