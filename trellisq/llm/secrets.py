@@ -16,7 +16,8 @@ log ratios, sent as a literal, so scoring needs no join.
 
 Edge cases: a null text is empty; overlapping base spans of different kinds
 all stay, added ones never overlap base ones; without matches in
-the corpus there is no model and nothing is added; equal rows give equal rows;
+the corpus there is no model and nothing is added; equal rows give equal rows; a very long text is read by one task in time
+proportional to its length (times its number of spans, for runs beside them);
 no rows give no rows; columns of the input named like an output are replaced.
 """
 
@@ -54,7 +55,8 @@ def _spans(text: Column, pattern: str, rank: int, kind: str, value_group: int =
         span = F.struct(start.cast("int").alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), end.cast("int").alias("end"))
         return F.struct(end.cast("int").alias("at"), F.when(F.length(at["value"]) >= least, F.array_append(acc["out"], span)).otherwise(acc["out"]).alias("out"))
 
-    zipped = F.transform(found, lambda x, i: F.struct(x.alias("found"), F.get(pieces, i).alias("piece"), F.get(values, i).alias("value")))
+    # Zipped, each array is made once; an array read by its index in a lambda would be made for each match.
+    zipped = F.filter(F.arrays_zip(found.alias("found"), pieces.alias("piece"), values.alias("value")), lambda x: x["found"].isNotNull())
     none = F.array().cast(SPAN)
     every = F.aggregate(zipped, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
     # Most texts have no match: they are searched once and not split.
@@ -81,15 +83,18 @@ def _samples(texts: DataFrame, sample: int) -> DataFrame:
         parts.append(chosen.where(F.size("base") > 0 if has else F.size("base") == 0))
     secret = parts[0].select(F.explode("base").alias("s"), "text").select(
         F.regexp_extract(F.substr("text", F.col("s.start") + 1, F.col("s.end") - F.col("s.start")), r"([A-Za-z0-9+/_=-]+)$", 1).alias("token"), F.lit(1).alias("secret"))
-    ordinary = parts[1].select(F.explode(F.regexp_extract_all("text", F.lit(r"(?<![A-Za-z0-9_-])(?:[A-Z]?[a-z]+|[A-Z]+)(?:[_-](?:[A-Z]?[a-z]+|[A-Z]+))*(?![A-Za-z0-9_-])"), F.lit(0))).alias("token"), F.lit(0).alias("secret"))
+    # Patterns repeat single classes only: a repeated group takes a stack frame for each part of a long identifier.
+    whole = parts[1].select(F.explode(F.regexp_extract_all("text", F.lit(r"(?<![A-Za-z0-9_-])[A-Za-z_-]{3,}+(?![0-9])"), F.lit(0))).alias("token"), F.lit(0).alias("secret"))
+    ordinary = whole.where(F.forall(F.split("token", "[_-]"), lambda x: x.rlike("^(?:[A-Z]?[a-z]+|[A-Z]+)$")))
     return secret.unionAll(ordinary).where(F.length("token") >= 3)
 
 
 def model(texts: DataFrame, sample: int = SAMPLE) -> list[float] | None:
     """Log ratios by (first, second) character, row by row; None if there is nothing to learn from. texts: text."""
     n = len(ALPHABET)
-    pair = F.sequence(F.lit(1), F.length("token") - 1)
-    bigrams = _samples(texts, sample).select("secret", F.explode(F.transform(pair, lambda i: F.substr("token", i, F.lit(2)))).alias("pair")).groupBy("secret", "pair").count()
+    every = F.split("token", "")  # substr would read the token from its start for each place
+    pairs = F.arrays_zip(F.slice(every, 1, F.length("token") - 1).alias("a"), F.slice(every, 2, F.length("token") - 1).alias("b"))
+    bigrams = _samples(texts, sample).select("secret", F.explode(pairs).alias("x")).select("secret", F.concat("x.a", "x.b").alias("pair")).groupBy("secret", "pair").count()
     counts = [[[0.5] * n for _ in range(n)] for _ in range(2)]
     seen = [0, 0]
     for r in bigrams.collect():  # at most 2 * 67 * 67 rows
@@ -114,7 +119,8 @@ def model(texts: DataFrame, sample: int = SAMPLE) -> list[float] | None:
 def _stretches(base: Column, token: Column, start: Column, ratios: list[float], threshold: float) -> Column:
     """The spans within a run (a token and where it starts) whose total log ratio is above the threshold."""
     table, n = F.lit(ratios), len(ALPHABET)
-    codes = F.transform(F.sequence(F.lit(1), F.length(token)), lambda i: F.position(F.substr(token, i, F.lit(1)), F.lit(ALPHABET)))
+    number = F.lit([ALPHABET.find(chr(k)) + 1 for k in range(1, 128)])
+    codes = F.transform(F.split(token, ""), lambda c: F.element_at(number, F.ascii(c)))
     pairs = F.arrays_zip(F.slice(codes, 1, F.size(codes) - 1).alias("a"), F.slice(codes, 2, F.size(codes) - 1).alias("b"))
 
     def ratio(p: Column, k: Column) -> Column:
