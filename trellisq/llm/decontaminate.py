@@ -5,14 +5,17 @@ corpus.  As containment has to be whole, a window's necessary prefix is its
 rarest word: a document can hold the window only where it holds that word.
 Each such place gives the one position at which the window could start; the
 bounds of the document and the window's length cut places off, and what is
-left is verified over the whole window by two independent 64-bit hashes.
+left is verified over the whole window, by its hash and then word by word.
+Equal windows are one, and the (place, window) pairs of a block of documents are
+looked at a bounded number at a time.
 
 The benchmark goes to the executors in blocks of at most ``block_bytes`` of
 text.  The corpus is never shuffled: each block is one pass that carries the
 hits found so far along with the row, so any size of benchmark is joined in
 bounded memory (one block is the common case).
 
-Edge cases: a null text has no words; items without an id, a text or a word
+Edge cases: a null, empty or short text has no words or windows and is hit by nothing; a very long one is a block of its own; equal rows get
+equal results each; no documents give no rows; columns of docs named like an output are replaced; items without an id, a text or a word
 match nothing; equal windows of several items count for each of them; an
 item id that occurs twice is one item; an empty benchmark hits nothing.
 """
@@ -31,6 +34,8 @@ from . import arrays as A
 from .shared import any_columns, documents, extended
 
 WINDOW = 8
+#: Pairs of places and windows that are held at a time.
+PAIRS = 1 << 20
 COLUMNS = {"n_words": "long", "n_hit": "long", "n_items": "long", "items": "array<string>", "contaminated": "boolean"}
 
 
@@ -52,7 +57,7 @@ class Lookup:
 
 
 class Index:
-    """The windows of one block of items."""
+    """The different windows of one block of items, and the items of each (``items_of`` from ``item_first`` on)."""
 
     def __init__(self, items: list[tuple[str, str]]):
         self.ids = [i for i, _ in items]
@@ -60,10 +65,19 @@ class Index:
         self.words = w.hashes()
         size = np.minimum(np.diff(w.first), WINDOW)
         n_windows = np.where(size > 0, np.diff(w.first) - size + 1, 0)
-        self.item = np.repeat(np.arange(len(items)), n_windows)
-        within = np.arange(len(self.item)) - np.repeat(np.cumsum(n_windows) - n_windows, n_windows)
-        self.start, self.size = w.first[self.item] + within, size[self.item]
-        self.hashes = [span_hashes(span_sums(w.hashes(k), k), self.start, self.start + self.size, k) for k in (0, 1)]
+        item = np.repeat(np.arange(len(items)), n_windows)
+        within = np.arange(len(item)) - np.repeat(np.cumsum(n_windows) - n_windows, n_windows)
+        start, size = w.first[item] + within, size[item]
+        one, two = (span_hashes(span_sums(w.hashes(k), k), start, start + size, k) for k in (0, 1))
+        order = np.lexsort((item, size, two, one))
+        new = np.ones(len(order), bool)
+        new[1:] = np.any([x[order][1:] != x[order][:-1] for x in (one, two, size)], axis=0)
+        at = order[new]
+        self.start, self.size, self.hash = start[at], size[at], one[at]
+        window = np.cumsum(new) - 1
+        owner = np.unique(np.stack([window, item[order]], axis=1), axis=0) if len(order) else np.zeros((0, 2), np.int64)
+        self.items_of, self.item_first = owner[:, 1], np.searchsorted(owner[:, 0], np.arange(len(at) + 1))
+        self.raw, self.word_start, self.word_end = w.raw, w.start, w.end
         self.vocabulary = np.unique(self.words)
 
     def order(self, counts: np.ndarray) -> None:
@@ -79,20 +93,49 @@ class Index:
         self.by_key = np.argsort(rank, kind="stable")
         self.key_first = np.searchsorted(rank[self.by_key], np.arange(len(self.lookup.sorted) + 1))
 
-    def hits(self, w: A.Words, hashed: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """(first word, window) of all occurrences in a block of documents."""
-        place, rank = self.lookup(hashed[0])
-        n = self.key_first[rank + 1] - self.key_first[rank]
-        place, within = np.repeat(place, n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        window = self.by_key[np.repeat(self.key_first[rank], n) + within]
-        first = place - self.offset[window]
-        doc = w.doc[place]
-        inside = (first >= w.first[doc]) & (first + self.size[window] <= w.first[doc + 1])
-        first, window = first[inside], window[inside]
-        for k in (0, 1):
-            same = span_hashes(span_sums(hashed[k], k), first, first + self.size[window], k) == self.hashes[k][window]
+    def hits(self, w: A.Words) -> tuple[np.ndarray, np.ndarray]:
+        """(first word, window) of all occurrences in a block of documents: a word starts one window of each size at most."""
+        hashed = w.hashes()
+        sums = span_sums(hashed, 0)
+        places, rank = self.lookup(hashed)
+        counts = self.key_first[rank + 1] - self.key_first[rank]
+        until, out, lo = np.cumsum(counts), [], 0
+        while lo < len(places):
+            hi = max(lo + 1, int(np.searchsorted(until, (until[lo - 1] if lo else 0) + PAIRS, side="right")))
+            n = counts[lo:hi]
+            place, within = np.repeat(places[lo:hi], n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            window = self.by_key[np.repeat(self.key_first[rank[lo:hi]], n) + within]
+            first = place - self.offset[window]
+            doc = w.doc[place]
+            inside = (first >= w.first[doc]) & (first + self.size[window] <= w.first[doc + 1])
+            first, window = first[inside], window[inside]
+            same = span_hashes(sums, first, first + self.size[window], 0) == self.hash[window]
             first, window = first[same], window[same]
-        return first, window
+            same = self._same_words(w, first, window)
+            out.append((first[same], window[same]))
+            lo = hi
+        if not out:
+            return (np.zeros(0, np.int64),) * 2
+        return np.concatenate([x for x, _ in out]), np.concatenate([x for _, x in out])
+
+    def _same_words(self, w: A.Words, first: np.ndarray, window: np.ndarray) -> np.ndarray:
+        """Whether the words from first on are those of the window, byte by byte."""
+        if not len(first):
+            return np.zeros(0, bool)
+
+        def ranges(start: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            before = np.cumsum(n) - n
+            return np.repeat(start - before, n) + np.arange(n.sum()), before
+
+        size = self.size[window]
+        (a, before), (b, _) = ranges(first, size), ranges(self.start[window], size)
+        length = w.end[a] - w.start[a]
+        same = length == self.word_end[b] - self.word_start[b]
+        at = np.flatnonzero(same)
+        if len(at):
+            (x, begin), (y, _) = ranges(w.start[a[at]], length[at]), ranges(self.word_start[b[at]], length[at])
+            same[at] = np.logical_and.reduceat(w.raw[x] == self.raw[y], begin)
+        return np.logical_and.reduceat(same, before)
 
 
 def span_sums(hashed: np.ndarray, which: int) -> np.ndarray:
@@ -161,14 +204,14 @@ def _pass(docs, text, sent, is_first, is_last, names, min_items, plain):
         ids = np.array([*index.ids, ""], object)
         for part, texts in A.blocks(batches, text):
             w = A.Words(texts, A.NON_WORD, lower=True)
-            first, window = index.hits(w, [w.hashes(0), w.hashes(1)])
+            first, window = index.hits(w)
             change = np.zeros(len(w) + 1, np.int64)
             np.add.at(change, first, 1)
             np.add.at(change, first + index.size[window], -1)
             hit = np.cumsum(change)[:-1] > 0
             found = [set() for _ in texts]
-            for d, i in set(zip(w.doc[first].tolist(), index.item[window].tolist(), strict=True)):
-                found[d].add(ids[i])
+            for d, x in set(zip(w.doc[first].tolist(), window.tolist(), strict=True)):
+                found[d].update(ids[index.items_of[index.item_first[x] : index.item_first[x + 1]]])
             if not is_first:
                 for d, (packed, seen) in enumerate(zip(part.column(part.num_columns - 2).to_pylist(), part.column(part.num_columns - 1).to_pylist(), strict=True)):
                     a, b = w.first[d], w.first[d + 1]
