@@ -14,7 +14,8 @@ Edge cases: a null text has no words and fails the base rule; a null stratum is
 a stratum of its own; labels without a quality, an id or a document are ignored
 and an id labelled twice counts as good only if all its labels are; a stratum
 with too few labels to certify anything gets no cutoffs, so only the base rule
-rejects there; no labels or no documents give no cutoffs.
+rejects there; repeated rows each count where their id is labelled; very long texts are blocks of their own;
+no labels or no documents give no cutoffs; columns of docs named like an output are replaced.
 """
 
 from __future__ import annotations
@@ -114,6 +115,25 @@ def base_failed(s: Settings = Settings()) -> Column:
     return (n < s.min_words) | (100 * F.col(PREFIX + "n_repeat_words") > s.max_repeat_percent * n)
 
 
+def most_bad(n: int, rate: float, error: float) -> int:
+    """The most bad ones of n for which the exact upper bound of their rate is at most ``rate``; -1 if not even none is enough.
+
+    The bound is at most ``rate`` just if so few bad ones have a probability of ``error`` or less at that rate.
+    """
+    if not 0 < rate < 1 or n < least_labels(rate, error):
+        return -1
+    i = np.arange(int(n * rate) + 1)  # half of the probability lies below
+    ratio = np.log(n - i) - np.log(i + 1) + np.log(rate) - np.log1p(-rate)
+    logs = n * np.log1p(-rate) + np.concatenate([[0.0], np.cumsum(ratio)])  # of the probability of i bad ones
+    below = np.logaddexp.accumulate(logs)
+    return int(np.searchsorted(below, np.log(error), side="right")) - 1
+
+
+def least_labels(rate: float, error: float) -> int:
+    """How many labels it takes to certify a rate at all."""
+    return int(np.ceil(np.log(error) / np.log1p(-rate) - 1e-9))
+
+
 def upper_bound(bad: int, n: int, error: float) -> float:
     """The exact upper confidence bound of a binomial rate: the rate at which ``bad`` or fewer of n have probability ``error``."""
     if bad >= n:
@@ -131,7 +151,11 @@ def upper_bound(bad: int, n: int, error: float) -> float:
 
 
 def cutoffs(features: DataFrame, labels: DataFrame, stratum: str = "lang", id_: str = "doc_id", s: Settings = Settings()) -> list[tuple[str | None, str, float]]:
-    """(stratum, rule, cutoff) for each rule that is used; what reaches the driver is counts by stratum, rule and step of a grid."""
+    """(stratum, rule, cutoff) for each rule that is used.
+
+    What reaches the driver is counts by stratum, rule and step of a grid, for those strata whose good labels
+    could certify anything: at most one for each hundreds of labels, whatever the stratum column holds.
+    """
     good = labels.where(F.col(id_).isNotNull() & F.col("quality").isNotNull()).groupBy(F.col(id_).alias("_id")).agg(F.min("quality").alias("_good"))
     marked = (
         features.where(~base_failed(s))
@@ -141,15 +165,21 @@ def cutoffs(features: DataFrame, labels: DataFrame, stratum: str = "lang", id_:
         .groupBy("stratum", "good", "selects", "at.rule", "at.step")
         .count()
     )
+    n_rules, share = len(rules()), s.max_false_rejection / len(rules())
+    marked = stored(marked)
+    certifies = marked.where("good and not selects").groupBy("stratum", "rule").agg(F.sum("count").alias("labels")).groupBy("stratum").agg(F.max("labels").alias("labels"))
+    enough = stored(certifies.where(F.col("labels") >= least_labels(share, s.error_rate / n_rules)).select(F.col("stratum").alias("_stratum")))
+    marked = marked.join(enough, F.col("stratum").eqNullSafe(F.col("_stratum")), "left_semi")
     counts: dict[tuple, np.ndarray] = {}
     for r in marked.toLocalIterator():
         counts.setdefault((r["stratum"], r["rule"]), np.zeros((2, 2, GRID + 1), np.int64))[int(r["good"]), int(r["selects"]), r["step"]] += r["count"]
     out = []
-    n_tests, share = max(1, len(counts)), s.max_false_rejection / len(rules())
+    n_tests = max(1, len(counts))
     for (where, rule), n in sorted(counts.items(), key=lambda x: (x[0][0] is None, x[0][0] or "", x[0][1])):
         certify, best, gain = n[1, 0], None, 0
+        most = most_bad(int(certify.sum()), share, s.error_rate / n_tests)
         for step in range(GRID, -1, -1):  # rejects what is above the step
-            if upper_bound(int(certify[step + 1 :].sum()), int(certify.sum()), s.error_rate / n_tests) > share if certify.sum() else True:
+            if certify[step + 1 :].sum() > most:
                 break
             now = int(n[0, 1, step + 1 :].sum()) - s.good_weight * int(n[1, 1, step + 1 :].sum())
             if now > gain:
