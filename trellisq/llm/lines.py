@@ -3,11 +3,11 @@
 Of the pages of a host, those that hold a line are counted (once a page); a
 line held by more than ``percent`` of the host's pages is boilerplate and goes
 from all of them.  Hosts with fewer than ``min_pages`` pages have too little to
-compare and keep everything.
+compare (by default a single page) and keep everything.
 
 Counts are pre-aggregated by (host, 128-bit hash of the line).  A host has at
 most (lines a page) * 100 / percent boilerplate lines on average, so they come
-back as one short list a host.  Few hosts' lists are broadcast after they were counted; else
+back as one short list a host.  Lists that take few bytes, as measured, are broadcast; else
 pages are joined to them by host, which Spark may split where one host has very many
 pages.  Pages are never exploded again.  Names that begin with _ln_ are reserved.
 
@@ -47,7 +47,7 @@ def _print(line: Column) -> Column:
     return F.struct(F.xxhash64(line).alias("a"), F.xxhash64(F.lit("line"), line).alias("b"))
 
 
-def without_boilerplate(pages: DataFrame, group: Column, lines: Column, percent: int = 50, min_pages: int = 4) -> DataFrame:
+def without_boilerplate(pages: DataFrame, group: Column, lines: Column, percent: int = 50, min_pages: int = 2) -> DataFrame:
     """pages with host (the group), lines, n_lines, n_removed and kept_text (the lines that stay, joined by newlines)."""
     read = pages.withColumns({"_ln_host": group, "_ln_lines": lines})
     totals = read.groupBy("_ln_host").agg(F.count("*").alias("_ln_pages")).where(F.col("_ln_pages") >= min_pages)
@@ -58,7 +58,7 @@ def without_boilerplate(pages: DataFrame, group: Column, lines: Column, percent:
         .where(F.col("n") * 100 > min_pages * percent)
     )
     frequent = counts.join(totals, "_ln_host").where(F.col("n") * 100 > F.col("_ln_pages") * percent).groupBy("_ln_host").agg(F.collect_set("line").alias("_ln_bad"))
-    both = joined_small(read, stored(frequent), ["_ln_host"], "left", rows=50_000)
+    both = joined_small(read, stored(frequent), ["_ln_host"], "left")
     kept = F.when(F.col("_ln_bad").isNull(), F.col("_ln_lines")).otherwise(F.filter("_ln_lines", lambda x: ~F.array_contains("_ln_bad", _print(x))))
     out = both.withColumn("_ln_kept", kept)
     names = [c for c in pages.columns if c not in COLUMNS]
@@ -83,7 +83,7 @@ WITH read AS (
 ), totals AS (SELECT host, count(*) AS n FROM read GROUP BY host),
 counts AS (SELECT host, line, count(*) AS n FROM (SELECT DISTINCT r, host, unnest(lines) AS line FROM read) GROUP BY host, line),
 bad AS (
-  SELECT c.host, list(c.line) AS bad FROM counts c JOIN totals t USING (host) WHERE t.n >= 4 AND c.n * 100 > t.n * 50 GROUP BY c.host
+  SELECT c.host, list(c.line) AS bad FROM counts c JOIN totals t USING (host) WHERE t.n >= 2 AND c.n * 100 > t.n * 50 GROUP BY c.host
 ), kept AS (
   SELECT r.*, list_filter(r.lines, lambda x: NOT list_contains(coalesce(b.bad, []), x)) AS kept FROM read r LEFT JOIN bad b USING (host)
 )

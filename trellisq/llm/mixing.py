@@ -16,7 +16,10 @@ size is nearest what is still missing (or too much) gain or lose a copy.
 Edge cases: a null source is a source of its own, the last in order; a null or
 empty text has size 0 and takes nothing; a source whose target is its largest
 takes every document ``max_repeats`` times; equal rows get equal copies, and
-only documents with an id are adjusted singly; no rows give no rows.
+only documents with an id are adjusted singly; a very long text is one document that its source's target
+may miss by; no rows give no rows; columns of docs named like an output are replaced.
+
+The table of sources is ordered and summed up in one task: it has a row of five numbers for each source, so millions of sources fit.
 """
 
 from __future__ import annotations

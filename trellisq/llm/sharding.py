@@ -12,8 +12,8 @@ Groups of equal texts stay whole.  Those above 1 / (128 * shards) of all bytes
 the emptiest; the splitters then fill all shards to one level.  A group larger
 than a shard's share makes a shard of its own.
 
-Slots number a shard's rows without gaps: rows are numbered within fixed ranges
-of the hash (a large group is spread over ranges by a hash of the id), and the
+Slots number a shard's rows without gaps: rows are numbered within ranges
+of the hash, as many as the bytes call for (a large group is spread over ranges by a hash of the id), and the
 counts of the ranges before are added.
 
 Edge cases: a null text counts as an empty one (size 1); a null id sorts first;
@@ -31,7 +31,9 @@ from pyspark.sql import functions as F
 from .shared import any_columns, documents, stored
 
 COLUMNS = ("size", "text_crc32", "law", "shard", "slot", "grown_shard")
-KEY_BITS, STEP_BITS, RANGE_BITS, SPREAD = 63, 10, 13, 64
+KEY_BITS, STEP_BITS, SPREAD = 63, 10, 64
+#: Bytes of text in the range of keys that one window numbers, and the most ranges (their counts are broadcast).
+RANGE_BYTES, MOST_RANGE_BITS = 256 << 20, 20
 
 
 def _keyed(docs: DataFrame, text: str) -> DataFrame:
@@ -102,6 +104,7 @@ def sharded(docs: DataFrame, shards: int = 8, text: str = "text", id_: str = "do
         heapq.heappush(heap, (load + r["size"], s))
     loads = [load for load, _ in sorted(heap, key=lambda x: x[1])]
     left = total - sum(loads)
+    range_bits = min(MOST_RANGE_BITS, max(8, (total // RANGE_BYTES).bit_length()))
     level = _level(loads, left)
     aims, sum_ = [], 0.0
     for load in loads[:-1]:
@@ -116,11 +119,11 @@ def sharded(docs: DataFrame, shards: int = 8, text: str = "text", id_: str = "do
         _keyed(docs, text)
         .join(F.broadcast(groups), "_sh_key", "left")
         .withColumn("shard", F.coalesce("_sh_placed", by_key).cast("int"))
-        .withColumn("_sh_range", F.coalesce(spread, F.shiftright("_sh_key", KEY_BITS - RANGE_BITS)).cast("long"))
+        .withColumn("_sh_range", F.coalesce(spread, F.shiftright("_sh_key", KEY_BITS - range_bits)).cast("long"))
     )
     counts = rows.groupBy("shard", "_sh_range").count()
     before = Window.partitionBy("shard").orderBy("_sh_range").rowsBetween(Window.unboundedPreceding, -1)
-    # At most 2**RANGE_BITS ranges, one more for each splitter, and SPREAD for each large group.
+    # At most 2**MOST_RANGE_BITS ranges, one more for each splitter, and SPREAD for each large group.
     offsets = stored(counts.select("shard", "_sh_range", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_sh_before")))
     within = Window.partitionBy("shard", "_sh_range").orderBy("_sh_key", F.col(id_))
     slot = F.row_number().over(within) - 1 + F.col("_sh_before")

@@ -71,8 +71,8 @@ def repeated_windows(docs: DataFrame, window: int, bloom: int = BLOOM_BITS) -> D
     sc = docs.sparkSession.sparkContext
     docs = docs.where(F.col("_sd_id").isNotNull() & F.col("_sd_text").isNotNull())
     prints = docs.select("_sd_id", _key(), F.md5("_sd_text").alias("print"))
-    smallest = prints.groupBy("print").agg(F.min("_sd_id").alias("least"), F.max("_sd_id").alias("most")).where("least < most").drop("most")
-    copies = stored(prints.join(smallest, "print").where("_sd_id > least").select("_sd_id", "_sd_row").distinct())
+    smallest = stored(prints.groupBy("print").agg(F.min("_sd_id").alias("least"), F.max("_sd_id").alias("most")).where("least < most").drop("most"))
+    copies = stored(joined_small(prints, smallest, ["print"], "inner").where("_sd_id > least").select("_sd_id", "_sd_row").distinct())
     rest = joined_small(docs.withColumn("_sd_row", _key()), copies, ["_sd_id", "_sd_row"], "left_anti")
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

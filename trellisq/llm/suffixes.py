@@ -197,8 +197,8 @@ def repeated_strings(docs: DataFrame, length: int = 400, most: int = MOST, bloom
     sc = docs.sparkSession.sparkContext
     docs = docs.where(F.octet_length("_sx_text") >= length)
     prints = docs.select("_sx_row", F.md5("_sx_text").alias("print"))
-    classes = prints.groupBy("print").agg(F.min("_sx_row").alias("least"), F.count("*").alias("n")).where("n > 1").select("print", "least")
-    copies = stored(prints.join(classes, "print").select("_sx_row", (F.col("_sx_row") != F.col("least")).alias("skip")).distinct())
+    classes = stored(prints.groupBy("print").agg(F.min("_sx_row").alias("least"), F.count("*").alias("n")).where("n > 1").select("print", "least"))
+    copies = stored(joined_small(prints, classes, ["print"], "inner").select("_sx_row", (F.col("_sx_row") != F.col("least")).alias("skip")).distinct())
     rest = joined_small(docs, copies.where("skip").select("_sx_row"), ["_sx_row"], "left_anti").select("_sx_row", "_sx_text")
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
