@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trellisq.llm import decontaminate, mixing, near_duplicates, quality, sharding
-from trellisq.llm.shared import documents, small_batches, stored
+from trellisq.llm.shared import documents, released, small_batches, stored
 
 NAMES = ("doc_id", "text", "lang", "source")
 
@@ -82,4 +82,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     for _, stage in STAGES:
         docs = stored(stage(spark, docs, sf_dir))
+        released(spark, keep=docs)  # scratch tables of the stage, and its input
     return docs
