@@ -27,7 +27,7 @@ SCHEMA = "doc_id long, text string, lang string, source string, size string, cop
 def folder(spark, tmp_path_factory):
     at = str(tmp_path_factory.mktemp("pipeline"))
     rows = [(k, clean(k)) for k in range(40)]
-    rows += [(100, clean(3)), (101, clean(4) + " more"), (102, clean(5) + " " + ITEM[:80]), (103, "too short"), (104, None), (105, ""), (106, "a b c d e " * 20), (None, clean(6))]
+    rows += [(100, clean(3)), (101, clean(4) + " more"), (102, clean(5) + " " + ITEM[:200]), (103, "too short"), (104, None), (105, ""), (106, "a b c d e " * 20), (None, clean(6))]
     rows += [(107, clean(77)), (107, clean(78))]
     docs = [(k, t, "en", ["a", "b", None][n % 3], "x", "x", ["y"]) for n, (k, t) in enumerate(rows)]
     spark.createDataFrame(docs, SCHEMA).repartition(3).write.parquet(f"{at}/documents.parquet")
