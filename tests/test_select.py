@@ -1,9 +1,11 @@
+import functools
+
 import pytest
 
 from trellisq.functions.expr import Ctx, E, QueryError
 from trellisq.plans.query import FieldSet
 
-from .social import ENT, short, source
+from .railway import ENT, short, source
 
 
 @pytest.fixture(scope="module")
@@ -15,8 +17,8 @@ def src(spark):
 
 
 @pytest.fixture(scope="module")
-def Person(src):
-    return src.catalog.shape("Person")
+def Stop(src):
+    return src.catalog.shape("Stop")
 
 
 def ids(rows):
@@ -27,163 +29,163 @@ def by_id(rows):
     return {short(r["id"]): short({k: v for k, v in r.items() if k != "id"}) for r in rows}
 
 
-def test_names(src, Person):
-    assert by_id(Person.select(lambda p: p.name).run(src)) == {"p1": {"name": "Semmy"}, "p2": {"name": "Moa"}, "p3": {"name": "Jinx"}, "p4": {"name": "Quinn"}}
+def test_a_shape_reads_its_subclasses(src, Stop):
+    assert by_id(Stop.select(lambda s: s.title).run(src)) == {k: {"title": t} for k, t in zip("abcdf", ("Ash", "Birch", "Cedar", "Dogwood", "Fir"), strict=True)}
 
 
-def test_relations_and_missing_values(src, Person):
-    rows = by_id(Person.select(lambda p: [p.friends, p.bestFriend, p.birthDate, p.isRealPerson, p.nickNames]).run(src))
-    assert [f["id"] for f in rows["p1"]["friends"]] == ["p2", "p3"] and rows["p4"]["friends"] == []
-    assert rows["p3"]["bestFriend"] is None and rows["p2"]["bestFriend"] == {"id": "p3"}
-    assert rows["p1"]["birthDate"].year == 1990 and rows["p3"]["birthDate"] is None
-    assert rows["p1"]["isRealPerson"] is True and rows["p2"]["isRealPerson"] is False
-    assert rows["p1"]["nickNames"] == ["Sem", "Sem1"]
+def test_values_of_each_kind(src, Stop):
+    rows = by_id(Stop.select(lambda s: [s.next, s.hub, s.opened, s.staffed, s.aliases, s.zone]).run(src))
+    assert rows["a"]["next"] == [{"id": "b"}, {"id": "f"}] and rows["f"]["next"] == []
+    assert rows["b"]["hub"] == {"id": "c"} and rows["c"]["hub"] is None
+    assert rows["a"]["opened"].year == 1871 and rows["b"]["opened"] is None
+    assert [rows[k]["staffed"] for k in "abc"] == [True, False, None]
+    assert rows["a"]["aliases"] == ["Ashes", "Old Ash"] and rows["d"]["zone"] == 3
 
 
-def test_subjects(src, Person):
-    assert short(Person.select(lambda p: p.name).for_(ENT + "p1").run(src)) == {"id": "p1", "name": "Semmy"}
-    assert Person.select(lambda p: p.name).for_("urn:none").run(src) is None
-    assert Person.select(lambda p: p.name).for_(None).run(src) is None
-    assert ids(Person.select().for_all([ENT + "p1", ENT + "p3"]).run(src)) == ["p1", "p3"]
-    assert short(Person.select(lambda p: p.name).where(lambda p: p.equals({"id": ENT + "p1"})).one().run(src))["name"] == "Semmy"
+def test_one_subject_or_several(src, Stop):
+    q = Stop.select(lambda s: s.title)
+    assert short(q.for_(ENT + "d").run(src)) == {"id": "d", "title": "Dogwood"}
+    assert q.for_("urn:nowhere").run(src) is None and q.for_(None).run(src) is None
+    assert ids(q.for_all([ENT + "f", ENT + "b", "urn:nowhere"]).run(src)) == ["b", "f"]
+    assert short(q.where(lambda s: s.equals({"id": ENT + "c"})).one().run(src))["title"] == "Cedar"
 
 
-def test_nested_paths(src, Person):
-    rows = by_id(Person.select(lambda p: [p.name, p.friends.name, p.bestFriend.name, p.bestFriend.hobby]).run(src))
-    assert rows["p1"]["friends"] == [{"id": "p2", "name": "Moa"}, {"id": "p3", "name": "Jinx"}]
-    assert rows["p2"]["bestFriend"] == {"id": "p3", "name": "Jinx", "hobby": None} and rows["p1"]["bestFriend"] is None
-    deep = by_id(Person.select(lambda p: p.friends.friends.name).run(src))
-    assert deep["p1"]["friends"][0]["friends"] == [{"id": "p3", "name": "Jinx"}, {"id": "p4", "name": "Quinn"}]
+def test_paths_through_relations(src, Stop):
+    rows = by_id(Stop.select(lambda s: [s.title, s.next.title, s.hub.title, s.hub.zone]).run(src))
+    assert rows["a"]["next"] == [{"id": "b", "title": "Birch"}, {"id": "f", "title": "Fir"}]
+    assert rows["b"]["hub"] == {"id": "c", "title": "Cedar", "zone": 2} and rows["c"]["hub"] is None
+    twice = by_id(Stop.select(lambda s: s.next.next.title).run(src))
+    assert twice["a"]["next"] == [{"id": "b", "next": [{"id": "c", "title": "Cedar"}]}, {"id": "f", "next": []}]
 
 
-def test_sub_selects(src, Person):
-    rows = by_id(Person.select(lambda p: p.friends.select(lambda f: {"name": f.name, "n": f.friends.size()})).run(src))
-    assert rows["p1"]["friends"] == [{"id": "p2", "name": "Moa", "n": 2}, {"id": "p3", "name": "Jinx", "n": 0}]
-    rows = by_id(Person.select(lambda p: p.friends.select(lambda f: f.bestFriend.select(lambda b: [b.name]))).run(src))
-    assert rows["p1"]["friends"][0]["bestFriend"] == {"id": "p3", "name": "Jinx"}
+def test_selects_within_selects(src, Stop):
+    rows = by_id(Stop.select(lambda s: s.next.select(lambda n: {"title": n.title, "n": n.next.size()})).run(src))
+    assert rows["a"]["next"] == [{"id": "b", "title": "Birch", "n": 1}, {"id": "f", "title": "Fir", "n": 0}]
+    rows = by_id(Stop.select(lambda s: s.next.select(lambda n: n.hub.select(lambda h: [h.title]))).run(src))
+    assert rows["a"]["next"][0]["hub"] == {"id": "c", "title": "Cedar"} and rows["c"]["next"][0]["hub"] == {"id": "a", "title": "Ash"}
 
 
-def test_inline_filters_keep_parents(src, Person):
-    rows = by_id(Person.select(lambda p: p.friends.where(lambda f: f.name.equals("Moa")).name).run(src))
-    assert rows["p1"]["friends"] == [{"id": "p2", "name": "Moa"}] and rows["p2"]["friends"] == [] and len(rows) == 4
-    rows = by_id(Person.select(lambda p: p.hobby.where(lambda h: h.equals("Jogging"))).run(src))
-    assert rows["p2"]["hobby"] == "Jogging" and rows["p1"]["hobby"] is None
+def test_filters_within_paths_keep_the_parents(src, Stop):
+    rows = by_id(Stop.select(lambda s: s.next.where(lambda n: n.title.equals("Fir")).title).run(src))
+    assert rows["a"]["next"] == [{"id": "f", "title": "Fir"}] and rows["d"]["next"] == [] and len(rows) == 5
+    rows = by_id(Stop.select(lambda s: s.zone.where(lambda z: z.equals(2))).run(src))
+    assert rows["c"]["zone"] == 2 and rows["a"]["zone"] is None
     with pytest.raises(QueryError):
-        Person.select(lambda p: p.friends.where(lambda f: f.name.equals("A")).where(lambda f: f.name.equals("B")))
-
-
-def test_conditions(src, Person):
-    where = lambda c: ids(Person.select().where(c).run(src))
-    assert where(lambda p: p.name.equals("Semmy")) == ["p1"]
-    assert where(lambda p: p.friends.name.equals("Moa")) == ["p1"]
-    assert where(lambda p: p.friends.some(lambda f: f.name.equals("Moa"))) == ["p1"]
-    assert where(lambda p: p.friends.every(lambda f: f.name.equals("Moa") | f.name.equals("Jinx"))) == ["p1", "p3", "p4"]
-    assert where(lambda p: p.friends.none(lambda f: f.name.equals("Moa"))) == ["p2", "p3", "p4"]
-    assert where(lambda p: p.friends.size().equals(2)) == ["p1", "p2"]
-    assert where(lambda p: p.bestFriend.equals({"id": ENT + "p3"})) == ["p2"]
-    assert where(lambda p: p.friends.equals({"id": ENT + "p4"})) == ["p2"]
-    assert where(lambda p: p.hobby.one_of(["Jogging", "x"])) == ["p2"]
-    assert where(lambda p: p.hobby.not_one_of(["Jogging"])) == ["p1"]
-    assert where(lambda p: p.hobby.one_of([])) == [] and where(lambda p: p.hobby.not_one_of([])) == ["p1", "p2"]
-    assert where(lambda p: p.hobby.is_not_defined()) == ["p3", "p4"]
-    assert where(lambda p: p.hobby.default_to("none").equals("none")) == ["p3", "p4"]
-    assert where(lambda p: p.name.equals("Quinn") | p.hobby.equals("Jogging")) == ["p2", "p4"]
-    assert where(lambda p: p.friends.some(lambda f: f.name.equals("Jinx")) & p.name.equals("Semmy")) == ["p1"]
-    assert where(lambda p: p.friends.some(lambda f: f.name.equals("Quinn")) | p.name.equals("Jinx")) == ["p2", "p3"]
-    assert where(lambda p: ~p.friends.some(lambda f: f.name.equals("Moa"))) == ["p2", "p3", "p4"]
+        Stop.select(lambda s: s.next.where(lambda n: n.zone.equals(1)).where(lambda n: n.zone.equals(2)))
+
+
+CONDITIONS = [
+    ("a", lambda s: s.title.equals("Ash")),
+    ("ad", lambda s: s.next.title.equals("Birch")),
+    ("b", lambda s: s.next.some(lambda n: n.title.equals("Cedar"))),
+    ("adf", lambda s: s.next.every(lambda n: n.title.equals("Birch") | n.title.equals("Fir"))),
+    ("bcf", lambda s: s.next.none(lambda n: n.title.equals("Birch"))),
+    ("bcf", lambda s: ~s.next.some(lambda n: n.title.equals("Birch"))),
+    ("a", lambda s: s.next.size().equals(2)),
+    ("ab", lambda s: s.hub.equals({"id": ENT + "c"})),
+    ("a", lambda s: s.next.equals({"id": ENT + "f"})),
+    ("cd", lambda s: s.zone.one_of([2, 3])),
+    ("cd", lambda s: s.zone.not_one_of([1])),
+    ("", lambda s: s.zone.one_of([])),
+    ("abcd", lambda s: s.zone.not_one_of([])),
+    ("f", lambda s: s.zone.is_not_defined()),
+    ("f", lambda s: s.zone.default_to(9).equals(9)),
+    ("df", lambda s: s.title.equals("Fir") | s.zone.equals(3)),
+    ("a", lambda s: s.next.some(lambda n: n.title.equals("Fir")) & s.zone.equals(1)),
+    ("bf", lambda s: s.next.some(lambda n: n.title.equals("Cedar")) | s.title.equals("Fir")),
     # A hop that a condition walks has to exist, under or and not as well.
-    assert where(lambda p: p.name.equals("Semmy") | p.bestFriend.name.equals("Jinx")) == ["p2"]
-    assert where(lambda p: p.bestFriend.name.is_not_defined()) == []
-    # Bodies of quantifiers need all their properties.
-    assert where(lambda p: p.friends.some(lambda f: f.name.equals("Jinx") | f.hobby.equals("Jogging"))) == ["p1"]
+    ("ab", lambda s: s.title.equals("Cedar") | s.hub.title.equals("Cedar")),
+    ("", lambda s: s.hub.title.is_not_defined()),
+    # Bodies of quantifiers need all their properties: Fir has no zone.
+    ("c", lambda s: s.next.some(lambda n: n.title.equals("Fir") | n.zone.equals(3))),
     # A member compared with the outer node.
-    assert where(lambda p: p.friends.some(lambda f: f.name.strlen().lt(p.name.strlen()))) == ["p1"]
+    ("d", lambda s: s.next.some(lambda n: n.title.strlen().lt(s.title.strlen()))),
     # Types that cannot be compared match nothing.
-    assert where(lambda p: p.name.equals(3)) == [] and where(lambda p: p.name.neq(3)) == []
-
-
-def test_implicit_some_narrows_what_is_shown(src, Person):
-    rows = by_id(Person.select(lambda p: p.friends.name).where(lambda p: p.friends.name.equals("Moa")).run(src))
-    assert rows == {"p1": {"friends": [{"id": "p2", "name": "Moa"}]}}
-    rows = by_id(Person.select(lambda p: p.friends.name).where(lambda p: p.friends.some(lambda f: f.name.equals("Moa"))).run(src))
-    assert len(rows["p1"]["friends"]) == 2
-    rows = by_id(Person.select(lambda p: p.friends.friends.name).where(lambda p: p.friends.friends.name.equals("Quinn")).run(src))
-    assert rows == {"p1": {"friends": [{"id": "p2", "friends": [{"id": "p4", "name": "Quinn"}]}]}}
-
-
-def test_computed_and_counts(src, Person):
-    rows = by_id(Person.select(lambda p: {"n": p.friends.size(), "len": p.name.strlen()}).run(src))
-    assert rows["p1"] == {"n": 2, "len": 5} and rows["p3"]["n"] == 0
-    rows = by_id(Person.select(lambda p: {"n": p.friends.friends.size()}).run(src))
-    assert rows == {"p1": {"n": 2}, "p2": {"n": 0}}
-    rows = by_id(Person.select(lambda p: {"u": p.bestFriend.name.ucase()}).run(src))
-    assert rows == {"p2": {"u": "JINX"}}
-    rows = by_id(Person.select(lambda p: {"is": p.bestFriend.equals({"id": ENT + "p3"})}).run(src))
-    assert rows["p2"]["is"] is True
-    assert Person.select().where(lambda p: p.hobby.is_defined()).count().run(src) == 2
-    assert Person.count().run(src) == 4
-    assert Person.select().where(lambda p: p.name.equals("x")).exists().run(src) is False
-    assert Person.select().exists().run(src) is True
-
-
-def test_minus(src, Person):
-    minus = lambda *ws: ids(__import__("functools").reduce(lambda q, w: q.minus(w), ws, Person.select()).run(src))
-    assert minus(lambda p: p.hobby) == ["p3", "p4"]
-    assert minus(lambda p: [p.hobby, p.nickNames]) == ["p2", "p3", "p4"]
-    assert minus(lambda p: [p.bestFriend.name]) == ["p1", "p3", "p4"]
-    assert minus(lambda p: p.hobby.equals("Reading")) == ["p2", "p3", "p4"]
-    assert minus(src.catalog.shape("Employee"), lambda p: p.hobby.equals("Reading")) == ["p2", "p3", "p4"]
-
-
-def test_order_and_pages(src, Person):
-    names = lambda q: [r["name"] for r in q.run(src)]
-    q = Person.select(lambda p: p.name)
-    assert names(q.order_by(lambda p: p.name)) == ["Jinx", "Moa", "Quinn", "Semmy"]
-    assert names(q.order_by(lambda p: p.name, "DESC").limit(2)) == ["Semmy", "Quinn"]
-    assert names(q.order_by(lambda p: p.hobby)) == ["Moa", "Semmy", "Jinx", "Quinn"]
-    assert names(q.order_by(lambda p: p.hobby, "DESC")) == ["Semmy", "Moa", "Jinx", "Quinn"]
-    assert names(q.offset(1).limit(2)) == ["Moa", "Jinx"]
-    assert names(q.order_by(lambda p: p.friends.name, "DESC")) == ["Moa", "Semmy", "Jinx", "Quinn"]
-    assert names(q.order_by(lambda p: p.name.strlen(), "DESC").limit(1)) == ["Semmy"]
-    rows = by_id(Person.select(lambda p: p.friends.select(lambda f: [f.name]).order_by(lambda f: f.name).limit(1)).run(src))
-    assert rows["p1"]["friends"] == [{"id": "p3", "name": "Jinx"}] and rows["p2"]["friends"] == [{"id": "p3", "name": "Jinx"}]
+    ("", lambda s: s.title.equals(3)),
+    ("", lambda s: s.title.neq(3)),
+]
+
+
+@pytest.mark.parametrize("k", range(len(CONDITIONS)))
+def test_conditions(src, Stop, k):
+    want, condition = CONDITIONS[k]
+    assert "".join(ids(Stop.select().where(condition).run(src))) == want
+
+
+def test_a_walked_condition_narrows_what_is_shown(src, Stop):
+    rows = by_id(Stop.select(lambda s: s.next.title).where(lambda s: s.next.title.equals("Birch")).run(src))
+    assert rows == {k: {"next": [{"id": "b", "title": "Birch"}]} for k in "ad"}
+    rows = by_id(Stop.select(lambda s: s.next.title).where(lambda s: s.next.some(lambda n: n.title.equals("Birch"))).run(src))
+    assert len(rows["a"]["next"]) == 2
+    rows = by_id(Stop.select(lambda s: s.next.next.title).where(lambda s: s.next.next.title.equals("Dogwood")).run(src))
+    assert rows == {"b": {"next": [{"id": "c", "next": [{"id": "d", "title": "Dogwood"}]}]}}
+
+
+def test_computed_fields_and_counts(src, Stop):
+    rows = by_id(Stop.select(lambda s: {"n": s.next.size(), "len": s.title.strlen()}).run(src))
+    assert rows["a"] == {"n": 2, "len": 3} and rows["f"] == {"n": 0, "len": 3}
+    # What a computed field walks must exist: Fir leads nowhere.
+    assert by_id(Stop.select(lambda s: {"n": s.next.next.size()}).run(src)) == {k: {"n": 1} for k in "abcd"}
+    assert by_id(Stop.select(lambda s: {"u": s.hub.title.ucase()}).run(src)) == {"a": {"u": "CEDAR"}, "b": {"u": "CEDAR"}, "d": {"u": "ASH"}}
+    assert by_id(Stop.select(lambda s: {"is": s.hub.equals({"id": ENT + "c"})}).run(src))["d"]["is"] is False
+    assert Stop.select().where(lambda s: s.zone.is_defined()).count().run(src) == 4 and Stop.count().run(src) == 5
+    assert Stop.select().exists().run(src) is True and Stop.select().where(lambda s: s.zone.gt(3)).exists().run(src) is False
+
+
+def test_minus(src, Stop):
+    minus = lambda *ws: "".join(ids(functools.reduce(lambda q, w: q.minus(w), ws, Stop.select()).run(src)))
+    assert minus(lambda s: s.zone) == "f" and minus(lambda s: [s.zone, s.aliases]) == "bcdf"
+    assert minus(lambda s: [s.hub.title]) == "cf" and minus(lambda s: s.zone.equals(1)) == "cdf"
+    assert minus(src.catalog.shape("Terminus"), lambda s: s.title.equals("Ash")) == "bcf"
+
+
+def test_order_and_pages(src, Stop):
+    order = lambda q: "".join(short(r["id"]) for r in q.run(src))
+    q = Stop.select(lambda s: s.title)
+    assert order(q.order_by(lambda s: s.title, "DESC").limit(2)) == "fd"
+    assert order(q.order_by(lambda s: s.zone)) == "abcdf" and order(q.order_by(lambda s: s.zone, "DESC")) == "dcabf"
+    assert order(q.offset(1).limit(2)) == "bc"
+    assert order(q.order_by(lambda s: s.next.title, "DESC")) == "acbdf"
+    assert order(q.order_by(lambda s: s.title.strlen(), "DESC").limit(1)) == "d"
+    rows = by_id(Stop.select(lambda s: s.next.select(lambda n: [n.title]).order_by(lambda n: n.zone).limit(1)).run(src))
+    assert rows["a"]["next"] == [{"id": "b", "title": "Birch"}] and rows["c"]["next"] == [{"id": "d", "title": "Dogwood"}]
     # A page counts nodes, not the rows of a condition.
-    assert len(Person.select(lambda p: p.friends.name).where(lambda p: p.friends.name.neq("x")).limit(2).run(src)) == 2
-
-
-def test_casts_types_and_paths(src, Person):
-    Dog = src.catalog.shape("Dog")
-    rows = by_id(Person.select(lambda p: p.pets.as_(Dog).guardDogLevel).run(src))
-    assert rows["p1"]["pets"] == [{"id": "dog1", "guardDogLevel": 2}] and rows["p2"]["pets"] == [{"id": "dog2", "guardDogLevel": None}]
-    rows = by_id(Person.select(lambda p: p.firstPet).run(src))
-    assert rows["p1"]["firstPet"] == {"id": "dog1"}
-    rows = by_id(Dog.select(lambda d: d.type_()).run(src))
-    assert [t["id"] for t in rows["dog1"]["$type"]] == ["urn:t:Dog", "urn:t:Pet"]
-    rows = by_id(Person.select(lambda p: [p.reach, p.admirers]).run(src))
-    assert [r["id"] for r in rows["p1"]["reach"]] == ["p2", "p3", "p4"] and rows["p3"]["admirers"] == [{"id": "p2"}]
-
-
-def test_groups(src, Person):
-    q = Person.select(lambda p: {"hobby": p.hobby, "n": E.count(), "friends": p.friends.size()}).group_by("hobby")
-    got = {r["hobby"]: (r["n"], r["friends"]) for r in q.run(src)}
-    assert got == {"Reading": (1, 2), "Jogging": (1, 2), None: (2, 0)}
-    rows = q.having("n", lambda n: n.gt(1)).run(src)
-    assert [r["hobby"] for r in rows] == [None]
-    rows = q.group_order_by("n", "DESC").limit(1).run(src)
-    assert rows[0]["n"] == 2
+    assert len(Stop.select(lambda s: s.next.title).where(lambda s: s.next.title.neq("x")).limit(2).run(src)) == 2
+
+
+def test_casts_types_and_paths(src, Stop):
+    Line, Terminus, Night = (src.catalog.shape(x) for x in ("Line", "Terminus", "NightLine"))
+    rows = by_id(Line.select(lambda x: [x.calls.as_(Terminus).platforms, x.starts]).run(src))
+    assert rows["owl"]["calls"] == [{"id": "c", "platforms": None}, {"id": "d", "platforms": 4}] and rows["red"]["starts"] == {"id": "a"}
+    assert [t["id"] for t in by_id(Night.select(lambda x: x.type_()).run(src))["owl"]["$type"]] == ["urn:kind:Line", "urn:kind:NightLine"]
+    rows = by_id(Stop.select(lambda s: [s.onward, s.feeders]).run(src))
+    reach = lambda k, of: "".join(r["id"] for r in rows[k][of])
+    assert reach("a", "onward") == "bcdf" and reach("d", "onward") == "bcd" and reach("c", "feeders") == "ab"
+
+
+def test_groups(src, Stop):
+    q = Stop.select(lambda s: {"zone": s.zone, "n": E.count(), "next": s.next.size()}).group_by("zone")
+    assert {r["zone"]: (r["n"], r["next"]) for r in q.run(src)} == {1: (2, 3), 2: (1, 1), 3: (1, 1), None: (1, 0)}
+    assert [r["zone"] for r in q.having("n", lambda n: n.gt(1)).run(src)] == [1]
+    assert [r["n"] for r in q.group_order_by("n", "DESC").limit(1).run(src)] == [2]
     with pytest.raises(QueryError):
-        Person.select(lambda p: {"hobby": p.hobby, "name": p.name}).group_by("hobby")
-
-
-def test_context_preload_and_field_sets(src, Person):
-    q = Person.select(lambda p: p.name).where(lambda p: p.bestFriend.equals(Ctx("user")))
-    assert ids(q.run(src, {"user": {"id": ENT + "p3"}})) == ["p2"] and q.run(src) is None
-    q = Person.select(lambda p: p.name).where(lambda p: p.friends.some(lambda f: f.name.equals(Ctx("user", (), Person).name)))
-    assert ids(q.run(src, {"user": {"id": ENT + "p4"}})) == ["p2"]
-    card = Person.select(lambda p: [p.name, p.hobby])
-    rows = by_id(Person.select(lambda p: p.bestFriend.preload_for(card)).run(src))
-    assert rows["p2"]["bestFriend"] == {"id": "p3", "name": "Jinx", "hobby": None}
-    fields = FieldSet.for_(Person, ["name"]).add("hobby").remove("name").merge(FieldSet(Person, ["bestFriend.name"]))
-    rows = by_id(Person.select(fields).run(src))
-    assert rows["p2"] == {"hobby": "Jogging", "bestFriend": {"id": "p3", "name": "Jinx"}}
-    assert set(by_id(Person.select_all().run(src))["p1"]) == set(Person.properties)
+        Stop.select(lambda s: {"zone": s.zone, "title": s.title}).group_by("zone")
+
+
+def test_two_relations_of_a_group_are_counted_by_themselves(src, Stop):
+    """Stops of a group that lead to several stops and are hubs of several others: no product of the two."""
+    q = Stop.select(lambda s: {"zone": s.zone, "n": E.count(), "next": s.next.size(), "fed": s.feeders.title.count_distinct(), "last": s.next.title.max()}).group_by("zone")
+    got = {r["zone"]: (r["n"], r["next"], r["fed"], r["last"]) for r in q.run(src)}
+    assert got == {1: (2, 3, 1, "Fir"), 2: (1, 1, 2, "Dogwood"), 3: (1, 1, 0, "Birch"), None: (1, 0, 0, None)}
+
+
+def test_context_preload_and_field_sets(src, Stop):
+    q = Stop.select(lambda s: s.title).where(lambda s: s.hub.equals(Ctx("home")))
+    assert ids(q.run(src, {"home": {"id": ENT + "a"}})) == ["d"] and q.run(src) is None
+    q = Stop.select(lambda s: s.title).where(lambda s: s.next.some(lambda n: n.title.equals(Ctx("home", (), Stop).title)))
+    assert ids(q.run(src, {"home": {"id": ENT + "f"}})) == ["a"]
+    card = Stop.select(lambda s: [s.title, s.zone])
+    assert by_id(Stop.select(lambda s: s.hub.preload_for(card)).run(src))["b"]["hub"] == {"id": "c", "title": "Cedar", "zone": 2}
+    fields = FieldSet.for_(Stop, ["title"]).add("zone").remove("title").merge(FieldSet(Stop, ["hub.title"]))
+    assert by_id(Stop.select(fields).run(src))["b"] == {"zone": 1, "hub": {"id": "c", "title": "Cedar"}}
+    assert set(by_id(Stop.select_all().run(src))["a"]) == set(Stop.properties)

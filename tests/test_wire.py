@@ -8,7 +8,7 @@ from trellisq.plans.query import Triples
 from trellisq.plans.wire import from_json, triples_to_json
 from trellisq.paths import PathError, Ref, parse, render
 
-from .social import ENT, source
+from .railway import ENT, source
 
 
 @pytest.fixture(scope="module")
@@ -17,77 +17,77 @@ def src(spark):
 
 
 @pytest.fixture(scope="module")
-def Person(src):
-    return src.catalog.shape("Person")
+def Stop(src):
+    return src.catalog.shape("Stop")
 
 
-def selects(P):
+def selects(S):
     return [
-        P.select(lambda p: [p.name, p.friends, p.bestFriend.name]),
-        P.select(lambda p: p.friends.where(lambda f: f.name.equals("Moa") & f.hobby.equals("Jogging")).name),
-        P.select(lambda p: {"n": p.friends.size(), "len": p.name.strlen().plus(1)}),
-        P.select(lambda p: p.friends.select(lambda f: [f.name, f.bestFriend.select(lambda b: {"x": b.name})]).order_by(lambda f: f.name).limit(2)),
-        P.select(lambda p: p.pets.as_("Dog").guardDogLevel),
-        P.select().where(lambda p: p.friends.some(lambda f: f.name.equals("Moa")) | ~p.hobby.equals("Chess")),
-        P.select().where(lambda p: p.friends.every(lambda f: f.name.neq("Bob"))).order_by(lambda p: p.hobby, "DESC").limit(3).offset(1),
-        P.select().where(lambda p: p.friends.size().gt(1) & p.hobby.one_of(["Reading", "x"])),
-        P.select().where(lambda p: p.birthDate.lt(datetime(2000, 1, 1, 12))),
-        P.select().where(lambda p: p.hobby.default_to("none").equals("none")),
-        P.select().where(lambda p: p.bestFriend.equals(Ctx("user"))).one(),
-        P.select(lambda p: p.name).for_all([ENT + "p1", ENT + "p2"]),
-        P.select().minus(lambda p: [p.hobby, p.bestFriend.name]).minus(lambda p: p.name.equals("x")),
-        P.select(lambda p: {"hobby": p.hobby, "n": E.count(), "last": p.birthDate.max()}).group_by("hobby").having("n", lambda n: n.gte(1)).group_order_by("n", "DESC"),
-        P.select().where(lambda p: p.hobby.is_defined()).count(),
-        P.select().where(lambda p: p.name.starts_with("S")).exists(),
-        P.select(lambda p: p.type_()).order_by(lambda p: p),
+        S.select(lambda s: [s.title, s.next, s.hub.title]),
+        S.select(lambda s: s.next.where(lambda n: n.title.equals("Birch") & n.zone.equals(1)).title),
+        S.select(lambda s: {"n": s.next.size(), "len": s.title.strlen().plus(1)}),
+        S.select(lambda s: s.next.select(lambda n: [n.title, n.hub.select(lambda h: {"x": h.title})]).order_by(lambda n: n.zone).limit(2)),
+        S.select(lambda s: s.next.as_("Terminus").platforms),
+        S.select().where(lambda s: s.next.some(lambda n: n.title.equals("Cedar")) | ~s.zone.equals(3)),
+        S.select().where(lambda s: s.next.every(lambda n: n.title.neq("Fir"))).order_by(lambda s: s.zone, "DESC").limit(3).offset(1),
+        S.select().where(lambda s: s.next.size().gt(1) & s.zone.one_of([1, 4])),
+        S.select().where(lambda s: s.opened.lt(datetime(1900, 1, 1, 12))),
+        S.select().where(lambda s: s.zone.default_to(0).equals(0)),
+        S.select().where(lambda s: s.hub.equals(Ctx("home"))).one(),
+        S.select(lambda s: s.title).for_all([ENT + "a", ENT + "d"]),
+        S.select().minus(lambda s: [s.zone, s.hub.title]).minus(lambda s: s.title.equals("x")),
+        S.select(lambda s: {"zone": s.zone, "n": E.count(), "last": s.opened.max()}).group_by("zone").having("n", lambda n: n.gte(1)).group_order_by("n", "DESC"),
+        S.select().where(lambda s: s.zone.is_defined()).count(),
+        S.select().where(lambda s: s.title.starts_with("D")).exists(),
+        S.select(lambda s: s.type_()).order_by(lambda s: s),
     ]
 
 
-def test_selects_survive_the_round_trip(src, Person):
-    for q in selects(Person):
+def test_selects_survive_the_round_trip(src, Stop):
+    for q in selects(Stop):
         first = q.to_json()
         again = from_json(first, src.catalog)
         assert again.to_json() == first
-        context = {"user": {"id": ENT + "p3"}}
+        context = {"home": {"id": ENT + "c"}}
         a, b = (sorted(x, key=str) if isinstance(x, list) else x for x in (q.run(src, context), again.run(src, context)))
         assert a == b, first
 
 
-def test_hand_written_envelopes(src, Person):
-    run = lambda **j: from_json({"v": "1.0", "shape": Person.iri, **j}, src.catalog).run(src)
-    ids = lambda rows: sorted(r["id"].removeprefix(ENT) for r in rows)
-    assert ids(run(where={"friends.name": "Moa"})) == ["p1"]
-    assert ids(run(where={"friends.some": {"name": "Moa"}, "name": {"!=": "x"}})) == ["p1"]
-    assert ids(run(where={"name.strlen()": {">": 3, "<": 5}})) == ["p3"]
-    assert ids(run(where=["<", ["+", ["strlen", {"@path": "name"}], 10], 14])) == ["p2"]
-    assert ids(run(where={"friends.size()": {">=": 2}})) == ["p1", "p2"]
-    assert ids(run(where={"hobby": {"in": {"@list": ["Jogging"]}}})) == ["p2"]
-    assert ids(run(where={"not": {"hobby": "Reading"}})) == ["p2"]
-    rows = run(fields=[{"friends": {"as": "buddies", "where": {"name": "Moa"}, "fields": ["name"]}}, {"as": "len", "value": {"@path": "name.strlen()"}}], subject=ENT + "p1")
-    assert rows["buddies"][0]["name"] == "Moa" and rows["len"] == 5
-    for bad in ({"where": {}}, {"where": {"name": {"?": 1}}}, {"op": "odd"}, {"requires": ["odd"]}, {"txId": ""}, {"where": ["EVIL", 1]}, {"fields": ["nothing"]}):
+def test_hand_written_envelopes(src, Stop):
+    run = lambda **j: from_json({"v": "1.0", "shape": Stop.iri, **j}, src.catalog).run(src)
+    ids = lambda rows: "".join(sorted(r["id"].removeprefix(ENT) for r in rows))
+    assert ids(run(where={"next.title": "Birch"})) == "ad"
+    assert ids(run(where={"next.some": {"title": "Birch"}, "zone": {"!=": 3}})) == "a"
+    assert ids(run(where={"title.strlen()": {">": 3, "<": 7}})) == "bc"
+    assert ids(run(where=["<", ["+", ["strlen", {"@path": "title"}], 10], 14])) == "af"
+    assert ids(run(where={"next.size()": {">=": 2}})) == "a"
+    assert ids(run(where={"title": {"in": {"@list": ["Cedar"]}}})) == "c"
+    assert ids(run(where={"not": {"zone": 1}})) == "cd"
+    rows = run(fields=[{"next": {"as": "after", "where": {"title": "Fir"}, "fields": ["title"]}}, {"as": "len", "value": {"@path": "title.strlen()"}}], subject=ENT + "a")
+    assert rows["after"][0]["title"] == "Fir" and rows["len"] == 3
+    for bad in ({"where": {}}, {"where": {"title": {"?": 1}}}, {"op": "odd"}, {"requires": ["odd"]}, {"txId": ""}, {"where": ["EVIL", 1]}, {"fields": ["nothing"]}):
         with pytest.raises(QueryError):
             run(**bad)
     with pytest.raises(QueryError):
-        from_json({"v": "2.0", "shape": Person.iri}, src.catalog)
+        from_json({"v": "2.0", "shape": Stop.iri}, src.catalog)
 
 
-def test_mutations_and_triples(src, Person):
+def test_mutations_and_triples(src, Stop):
     for m in (
-        Person.create({"__id": "urn:x", "name": "A", "bestFriend": {"name": "B"}, "friends": [{"id": "urn:y"}], "birthDate": datetime(2020, 1, 1)}),
-        Person.update({"hobby": None, "friends": {"add": [{"id": "urn:y"}], "remove": [{"id": "urn:z"}]}}).for_("urn:x"),
-        Person.update(lambda p: {"hobby": p.bestFriend.name.ucase()}).where(lambda p: p.name.equals("x")),
-        Person.update({"hobby": "x"}).for_all(),
-        Person.upsert({"hobby": "x"}).for_("urn:x"),
-        Person.delete(["urn:x"]).keep_links(),
-        Person.delete_all(),
-        Person.delete_where(lambda p: p.hobby.equals("x")),
+        Stop.create({"__id": "urn:x", "title": "A", "hub": {"title": "B"}, "next": [{"id": "urn:y"}], "opened": datetime(2020, 1, 1)}),
+        Stop.update({"zone": None, "next": {"add": [{"id": "urn:y"}], "remove": [{"id": "urn:z"}]}}).for_("urn:x"),
+        Stop.update(lambda s: {"title": s.hub.title.ucase()}).where(lambda s: s.title.equals("x")),
+        Stop.update({"zone": 1}).for_all(),
+        Stop.upsert({"zone": 1}).for_("urn:x"),
+        Stop.delete(["urn:x"]).keep_links(),
+        Stop.delete_all(),
+        Stop.delete_where(lambda s: s.zone.equals(1)),
         Delete.shapeless(["urn:x"]),
     ):
         first = m.to_json()
         assert from_json(first, src.catalog).to_json() == first
     with pytest.raises(QueryError):
-        from_json(Person.delete(["urn:x"]).keep_links().to_json(), src.catalog, refuse_keep_incoming=True)
+        from_json(Stop.delete(["urn:x"]).keep_links().to_json(), src.catalog, refuse_keep_incoming=True)
     t = Triples(object="urn:x", graphs=("urn:g",), limit_=3)
     assert from_json(triples_to_json(t)) == t
 
