@@ -585,24 +585,59 @@ class Planner:
         pairs = pairs.where(F.col("rank") > lo)
         return pairs if sub.limit_ is None else pairs.where(F.col("rank") <= lo + sub.limit_)
 
+    def fans(self, a: Agg) -> frozenset[tuple]:
+        """The many-valued relations that an aggregate walks: each path up to its last one."""
+        out = set()
+        for path in (x for x in walk(a.arg) if isinstance(x, Path)):
+            shape, until = path.scope.shape, 0
+            for k, step in enumerate(path.steps):
+                if shape is None or shape.find(step.label) is None:
+                    until = k + 1
+                    break
+                prop = shape.property(step.label)
+                until = until if prop.single else k + 1
+                shape = self.source.catalog.shape(step.cast) if step.cast else shape.value_shape(prop)
+            out.add(tuple(step.key for step in path.steps[:until]))
+        return frozenset(out - {()})
+
     def grouped(self, q: Select) -> DataFrame:
-        frame = self.roots(q)
-        keys = [(f.name, self.column(frame, f.what, how="left")) for f in q.fields if f.name in q.keys]
-        aggs: list[tuple[Agg, str]] = []
-        columns = []
+        """Aggregates that walk different relations are grouped apart and joined by the keys: relations never multiply each other.
 
-        def use(e: Expr) -> None:
+        This changes nothing, as an aggregate is one of the set of values, or of (member, value) pairs, that a group holds.
+        """
+        aggs: list[tuple[Agg, str]] = []
+        for e in (*(f.what for f in q.fields if f.name not in q.keys), *q.havings):
             for a in (x for x in walk(e) if isinstance(x, Agg)):
                 if not any(a is b for b, _ in aggs):
-                    value = F.col("id") if isinstance(a.arg, Node) or isinstance(a.arg, Path) and not a.arg.steps else self.column(frame, a.arg, how="left")
                     aggs.append((a, f"a{len(aggs)}"))
-                    columns.append((aggs[-1][1], a.name, value, a))
-
-        for f in q.fields:
-            if f.name not in q.keys:
-                use(f.what)
+        by: dict[frozenset, list] = {}
+        for a in aggs:
+            by.setdefault(self.fans(a[0]), []).append(a)
+        parts = list(by.values()) if sum(map(bool, by)) > 1 else [aggs]
+        keys = [f"gk{k}" for k in range(sum(f.name in q.keys for f in q.fields))]
+        out = self.grouped_part(q, parts[0])
+        for part in parts[1:]:
+            other = self.grouped_part(q, part).withColumnsRenamed({k: f"o_{k}" for k in keys})
+            out = out.join(other, [F.col(k).eqNullSafe(F.col(f"o_{k}")) for k in keys] or F.lit(True)).drop(*(f"o_{k}" for k in keys))
+        named = dict(zip((f.name for f in q.fields if f.name in q.keys), keys, strict=True))
+        find = lambda x: next(F.col(n) for a, n in aggs if a is x)
         for h in q.havings:
-            use(h)
+            out = out.where(compile(h, find))
+        out = out.select(*(F.col(named[f.name]).alias(f.name) if f.name in q.keys else compile(f.what, find).alias(f.name) for f in q.fields))
+        if q.group_order:
+            out = out.orderBy(*(F.col(n).asc_nulls_last() if d == "ASC" else F.col(n).desc_nulls_last() for n, d in q.group_order))
+        if q.offset_:
+            out = out.offset(q.offset_)
+        return out if q.limit_ is None else out.limit(q.limit_)
+
+    def grouped_part(self, q: Select, aggs: list[tuple[Agg, str]]) -> DataFrame:
+        """The group keys (gk0, ...) and some aggregates by name."""
+        frame = self.roots(q)
+        keys = [(f.name, self.column(frame, f.what, how="left")) for f in q.fields if f.name in q.keys]
+        columns = []
+        for a, name in aggs:
+            value = F.col("id") if isinstance(a.arg, Node) or isinstance(a.arg, Path) and not a.arg.steps else self.column(frame, a.arg, how="left")
+            columns.append((name, a.name, value, a))
         df = frame.df
         named = [(n, f"gk{k}") for k, (n, _) in enumerate(keys)]
         df = df.select("*", *(c.alias(g) for (_, c), (_, g) in zip(keys, named, strict=True)), *(v.alias(f"v_{n}") for n, _, v, _ in columns))
@@ -619,16 +654,7 @@ class Planner:
             for n, a in sums:
                 once = df.select(*(g for _, g in named), "id", f"v_{n}").distinct().groupBy(*(F.col(g).alias(f"j_{g}") for _, g in named)).agg(aggregate(a.name, F.col(f"v_{n}")).alias(n))
                 out = out.join(once, [F.col(g).eqNullSafe(F.col(f"j_{g}")) for _, g in named] or F.lit(True), "left").drop(*(f"j_{g}" for _, g in named))
-        find = lambda x: next(F.col(n) for a, n in aggs if a is x)
-        for h in q.havings:
-            out = out.where(compile(h, find))
-        fields = [F.col(dict(named)[f.name]).alias(f.name) if f.name in q.keys else compile(f.what, find).alias(f.name) for f in q.fields]
-        out = out.select(*fields)
-        if q.group_order:
-            out = out.orderBy(*(F.col(n).asc_nulls_last() if d == "ASC" else F.col(n).desc_nulls_last() for n, d in q.group_order))
-        if q.offset_:
-            out = out.offset(q.offset_)
-        return out if q.limit_ is None else out.limit(q.limit_)
+        return out.drop("unused")
 
     def run(self, q: Select):
         if q.null_subject:
