@@ -8,6 +8,7 @@ a transaction is a snapshot that is swapped in if nobody was faster.
 from __future__ import annotations
 
 import copy
+import functools
 import time
 import uuid
 from collections.abc import Callable
@@ -131,6 +132,19 @@ class Delete(Mutation):
         return Delete(None, ids, "shapeless")
 
 
+def put(base: DataFrame, new: DataFrame, few: bool) -> DataFrame:
+    """base, a set of quads, with those of new that it lacks; base is not shuffled if new is few.
+
+    What is fresh is computed once and kept, so base stands in the new version's plan once.
+    """
+    side = F.broadcast if few else (lambda df: df)
+    rows = new.distinct().select(*(F.col(c).alias(f"d_{c}") for c in COLUMNS))
+    same = [F.col(c).eqNullSafe(F.col(f"d_{c}")) for c in COLUMNS]
+    known = base.join(side(rows), same, "left_semi")
+    fresh = rows.join(side(known), same, "left_anti").select(*(F.col(f"d_{c}").alias(c) for c in COLUMNS))
+    return base.unionByName(cut(fresh))
+
+
 class Conflict(RuntimeError):
     """Another transaction was committed first."""
 
@@ -170,7 +184,7 @@ class Store(QuadSource):
         """The graph's content becomes these quads; the registry records it."""
         rest = self.quads.where(~F.coalesce(F.col("g") == graph, F.lit(False)) & ~F.coalesce((F.col("g") == REGISTRY) & (F.col("s") == graph), F.lit(False)))
         record = quads_frame(self.spark, [(REGISTRY, graph, GRAPH_KIND, "literal", kind_, XSD + "string", None)])
-        self._swap(rest.unionByName(quads.withColumn("g", F.lit(graph)).select(*COLUMNS)).unionByName(record).distinct())
+        self._swap(rest.unionByName(quads.withColumn("g", F.lit(graph)).select(*COLUMNS).distinct()).unionByName(record))
 
     def graph_create(self, graph: str, quads: DataFrame | None = None, kind_: str = "data") -> None:
         if not self.quads.where((F.col("g") == REGISTRY) & (F.col("s") == graph)).isEmpty():
@@ -183,7 +197,7 @@ class Store(QuadSource):
             gone = remove.select(*(F.col(c).alias(f"d_{c}") for c in key)).distinct()
             out = out.join(gone, [F.col("g") == graph, *(F.col(c).eqNullSafe(F.col(f"d_{c}")) for c in key)], "left_anti")
         if add is not None:
-            out = out.unionByName(add.withColumn("g", F.lit(graph)).select(*COLUMNS)).distinct()
+            out = put(out, add.withColumn("g", F.lit(graph)).select(*COLUMNS), few=False)
         self._swap(out)
 
     def graph_drop(self, graph: str) -> None:
@@ -268,7 +282,7 @@ class Writer:
         return {"id": id_}
 
     def inserted(self, base: DataFrame, rows: list) -> DataFrame:
-        return base.unionByName(quads_frame(self.store.spark, rows)).distinct() if rows else base
+        return put(base, quads_frame(self.store.spark, rows), few=True) if rows else base
 
     def create(self, m: Mutation):
         plain = {k: v for k, v in m.data.items() if not isinstance(v, Expr)}
@@ -343,23 +357,30 @@ class Writer:
             left = left.where(~F.col("o_value").isin(keep)) if keep else left
             quads = self.without_nodes(quads, left.select(F.col("o_value").alias("id")).distinct(), False)
         if gone:
-            keys = self.store.spark.createDataFrame(gone, "dp string, dv string")
-            hit = (F.col("s") == F.col("id")) & (F.col("p") == F.col("dp")) & (F.col("dv").isNull() | (F.col("dv") == F.col("o_value")))
-            quads = quads.join(F.broadcast(keys).join(ids), hit, "left_anti")
+            dropped = F.lit(False)
+            for p in {p for p, _ in gone}:
+                values = [v for q, v in gone if q == p]
+                dropped = dropped | ((F.col("p") == p) & (F.lit(True) if None in values else F.col("o_value").isin(values)))
+            quads = quads.join(ids, (F.col("s") == F.col("id")) & dropped, "left_anti")
+        more = []
         if added:
-            values = self.store.spark.createDataFrame(added, "p string, o_kind string, o_value string, o_datatype string, o_lang string")
-            quads = quads.unionByName(ids.select(F.col("id").alias("s")).join(F.broadcast(values)).withColumn("g", F.lit(m.graph).cast("string")).select(*COLUMNS))
+            names = ("p", "o_kind", "o_value", "o_datatype", "o_lang")
+            written = F.array(*(F.struct(*(F.lit(v).cast("string").alias(n) for n, v in zip(names, x, strict=True))) for x in added))
+            more.append(ids.select(F.lit(m.graph).cast("string").alias("g"), F.col("id").alias("s"), F.explode(written).alias("x")).select("g", "s", "x.*").select(*COLUMNS))
         if not typed:
             rows.append((m.graph, m.ids[0], RDF_TYPE, "iri", shape.target(), None, None))
         if new is not None:
-            quads = quads.unionByName(new)
-        if m.mode in ("for", "ids"):
+            more.append(new)
+        few = m.mode in ("for", "ids")
+        if few:
             echo = {"id": m.ids[0]} | echo
             if typed and ids.isEmpty():
                 rows = []
         else:
             echo = {"count": ids.count()}
-        return self.inserted(quads, rows).distinct(), echo
+        if rows:
+            more.append(quads_frame(self.store.spark, rows))
+        return put(quads, functools.reduce(DataFrame.unionByName, more), few) if more else quads, echo
 
     def owned_edges(self) -> DataFrame:
         """(s, o) along owning predicates and to blank nodes."""

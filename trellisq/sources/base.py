@@ -90,6 +90,10 @@ class Source:
     def predicate(self, iri: str, graphs: tuple[str, ...] | None = None) -> DataFrame:
         raise NotImplementedError
 
+    def terms(self, iri: str, graphs: tuple[str, ...] | None = None) -> DataFrame:
+        """As ``predicate``, but rows may be repeated."""
+        return self.predicate(iri, graphs)
+
     def all_predicates(self, graphs: tuple[str, ...] | None = None) -> DataFrame:
         raise NotImplementedError
 
@@ -98,9 +102,11 @@ class Source:
 
     def edge(self, shape: Shape, prop: Property, graphs: tuple[str, ...] | None = None) -> DataFrame:
         """(s, o): the values of a property, of its declared type; what has another type is no value."""
-        found = self.step(prop.path, graphs)
+        # One predicate is made a set once, at the end.
+        found = self.terms(prop.path.iri, graphs) if isinstance(prop.path, Ref) else self.step(prop.path, graphs)
         if prop.is_relation:
-            return found.where("kind <> 'literal'").select("s", "o")
+            links = found.where("kind <> 'literal'").select("s", "o")
+            return links.distinct() if isinstance(prop.path, Ref) else links
         kind = SPARK_TYPES.get(prop.datatype or "string", "string")
         value = F.col("o") if kind == "string" else F.col("o").try_cast(kind)
         return found.where("kind = 'literal'").select("s", value.alias("o")).where("o is not null").distinct()

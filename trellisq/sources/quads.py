@@ -50,8 +50,11 @@ class QuadSource(Source):
         classes = sorted(self.catalog.classes_under(shape.target(), self.inference))
         return self.scoped(graphs).where((F.col("p") == RDF_TYPE) & F.col("o_value").isin(classes)).select(F.col("s").alias("id")).distinct()
 
+    def terms(self, iri: str, graphs=None) -> DataFrame:
+        return self._terms(self.scoped(graphs).where(F.col("p") == iri))
+
     def predicate(self, iri: str, graphs=None) -> DataFrame:
-        return self._terms(self.scoped(graphs).where(F.col("p") == iri)).distinct()
+        return self.terms(iri, graphs).distinct()
 
     @staticmethod
     def _terms(df: DataFrame, *more: str) -> DataFrame:
