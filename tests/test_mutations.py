@@ -59,6 +59,15 @@ def test_owned_nodes_go_with_their_owner(spark):
     s = Store(quads_frame(spark, []), c, cut_after=1)
     a = Album.create({"__id": "urn:a", "cover": {"__id": "urn:c", "caption": "x", "next": {"__id": "urn:n", "next": {"id": "urn:c"}}}}).run(s)
     assert a["cover"] == {"id": "urn:c"} and c.shape("Photo").count().run(s) == 2
+    # Only nodes of the owned class, or of none that is known, are linked as owned.
+    Other = Shape("Other", "urn:t:Other", [literal("caption", "<urn:p:caption>")], catalog=c)
+    Other.create({"__id": "urn:o"}).run(s)
+    for refused in (Album.create({"cover": {"id": "urn:o"}}), Album.update({"cover": {"id": "urn:o"}}).for_("urn:a")):
+        with pytest.raises(QueryError):
+            refused.run(s)
+    Album.create({"__id": "urn:a2", "cover": {"id": "urn:unknown"}}).run(s)
+    Album.delete("urn:a2").run(s)
+    Other.delete("urn:o").run(s)
     Album.update({"cover": {"caption": "y"}}).for_("urn:a").run(s)
     assert [r["caption"] for r in c.shape("Photo").select(["caption"]).run(s)] == ["y"]
     Album.delete("urn:a").run(s)

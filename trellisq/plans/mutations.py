@@ -247,11 +247,26 @@ class Transaction:
 class Writer:
     def __init__(self, store: Store, context: dict | None):
         self.store, self.planner = store, Planner(store, context)
+        #: Existing nodes that this change links as owned: id, property, the classes it may have.
+        self.owned_links: list[tuple[str, str, frozenset[str]]] = []
 
     def write(self, m: Mutation) -> tuple[DataFrame, Any]:
         if any(isinstance(i, Ctx) for i in m.ids):
             m = m._with(ids=[self.planner.resolved(i) if isinstance(i, Ctx) else i for i in m.ids])
-        return getattr(self, m.op)(m)
+        out = getattr(self, m.op)(m)
+        self.check_owned_links()
+        return out
+
+    def check_owned_links(self) -> None:
+        """An owner takes what it owns along when it goes, so a node of another class may not be linked as owned; one without a class may."""
+        if not self.owned_links:
+            return
+        wanted = sorted({i for i, _, _ in self.owned_links})
+        typed = self.store.quads.where((F.col("p") == RDF_TYPE) & F.col("s").isin(wanted)).groupBy("s").agg(F.collect_set("o_value").alias("classes"))
+        classes = {r["s"]: set(r["classes"]) for r in typed.toLocalIterator()}  # as many as the change names
+        for i, label, accepted in self.owned_links:
+            if classes.get(i) and not classes[i] & accepted:
+                raise QueryError(f"{label} owns its values, and {i} is of another class: {', '.join(sorted(classes[i]))}")
 
     def rows(self, shape: Shape, id_: str, data: dict, graph: str | None, out: list) -> dict:
         """Appends the quads of a description and its nested ones; returns it with ids."""
@@ -269,10 +284,15 @@ class Writer:
     def node(self, shape: Shape, p: Property, v: Any, graph: str | None, out: list) -> Any:
         """A value as it is stored: nested descriptions become nodes of their own, context values ids."""
         if isinstance(v, Ctx):
-            return {"id": self.planner.resolved(v)}
-        if isinstance(v, Node):
-            return {"id": v.id}
+            v = {"id": self.planner.resolved(v)}
+        elif isinstance(v, Node):
+            v = {"id": v.id}
         if not _is_nested(v):
+            to = shape.value_shape(p)
+            if p.contains and isinstance(p.path, Ref) and to is not None and to.target_class and isinstance(v, dict):
+                catalog = self.store.catalog
+                accepted = {c for x in (to.target_class, p.class_) if x for c in catalog.classes_under(x, self.store.inference)}
+                self.owned_links.append((v["id"], p.label, frozenset(accepted)))
             return v
         to = self.store.catalog.shape(v["__shape"]) if "__shape" in v else shape.value_shape(p)
         if to is None:

@@ -665,7 +665,10 @@ class Planner:
             return None
         rows = [plain(r.asDict(recursive=True)) for r in df.toLocalIterator()]
         if q.kind in ("count", "ask"):
-            return rows[0]["count" if q.kind == "count" else "exists"]
+            got = rows[0]["count" if q.kind == "count" else "exists"] if len(rows) == 1 else None
+            if not isinstance(got, bool if q.kind == "ask" else int) or got < 0:
+                raise QueryError(f"a source answered a {q.kind} with {rows!r}")
+            return got
         if q.one_ or q.subject is not None:
             return rows[0] if rows else None
         return rows
