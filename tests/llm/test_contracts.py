@@ -261,7 +261,7 @@ def test_binomial_test_is_the_bound():
 def test_kept_by_brute_force(spark):
     """The verdicts, recomputed from the documented rule with the bounds by bisection."""
     r = random.Random(9)
-    docs = [(k, clean(k) + " #" * r.choice([0, 0, 1, 30] if k % 4 else [0, 25, 40]), r.choice(["en", "de", "dirty%d" % k])) for k in range(3000)]
+    docs = [(k, clean(k) + " " + "#" * r.choice([0, 0, 1, 30] if k % 4 else [0, 25, 40]), r.choice(["en", "de", "dirty%d" % k])) for k in range(6000)]
     good = {k: int(k % 4 != 0) for k, _, _ in docs}
     df = spark.createDataFrame(docs, "doc_id long, text string, lang string")
     out = quality.judge(df, spark.createDataFrame(list(good.items()), "doc_id long, quality int"))
