@@ -316,6 +316,16 @@ def test_lines(spark):
     assert out[10] == [("b.org", 1, 0, "menu")] * 2 and out[11] == [("", 1, 0, "menu")] and out[12] == [("", 0, 0, "")] and out[13] == [("a.org", 0, 0, "")]
 
 
+def test_page_stored_twice(spark):
+    """A page is not compared with itself: stored twice it keeps its text, and it does not outvote the other pages of its host."""
+    rows = [(1, "a", "only", {"k": 1})] * 2 + [(2, "b", "x\ny", {})] * 3 + [(3, "b", "z", None), (4, "b", "z w", None), (5, "c", None, None), (None, "c", "m", None), (5, "c", "m", None)]
+    df = spark.createDataFrame(rows, "page_id long, site string, body string, more map<string,int>")
+    body = F.filter(F.split(F.coalesce("body", F.lit("")), "\n"), lambda x: x != "")
+    got = lambda **more: sorted((r["page_id"] or 0, r["n_lines"], r["n_removed"]) for r in lines.without_boilerplate(df, F.col("site"), body, **more).collect())
+    assert got() == [(0, 1, 1), (1, 1, 0), (1, 1, 0), (2, 2, 0), (2, 2, 0), (2, 2, 0), (3, 1, 0), (4, 1, 0), (5, 0, 0), (5, 1, 1)]
+    assert got(repeats=True) == [(0, 1, 1), (1, 1, 1), (1, 1, 1), (2, 2, 2), (2, 2, 2), (2, 2, 2), (3, 1, 0), (4, 1, 0), (5, 0, 0), (5, 1, 1)]
+
+
 def test_empty_tables(docs, spark):
     none = docs.limit(0)
     labels, bench = spark.createDataFrame([], "doc_id long, quality int"), spark.createDataFrame([], "item_id long, text string")

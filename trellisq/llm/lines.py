@@ -12,9 +12,10 @@ pages are joined to them by host, which Spark may split where one host has very
 pages.  Pages are never exploded again.  Names that begin with _ln_ are reserved.
 
 Edge cases: a null or unreadable URL belongs to the host ''; a null page has no
-lines; lines are trimmed and empty ones are no lines; repeated rows count as
-pages of their own; no rows give no rows; columns of the input named like an
-output are replaced.
+lines; lines are trimmed and empty ones are no lines; rows equal in all columns
+are one page, which a page stored twice is, so it is not compared with itself
+(with ``repeats`` they count as pages of their own, as in the SQL twin); all rows are
+returned; no rows give no rows; columns of the input named like an output are replaced.
 """
 
 from __future__ import annotations
@@ -43,16 +44,27 @@ def html_lines(html: Column) -> Column:
     return F.filter(lines, lambda x: x != "")
 
 
-def _print(line: Column) -> Column:
-    return F.struct(F.xxhash64(line).alias("a"), F.xxhash64(F.lit("line"), line).alias("b"))
+def _print(*of: Column) -> Column:
+    return F.struct(F.xxhash64(*of).alias("a"), F.xxhash64(F.lit("line"), *of).alias("b"))
 
 
-def without_boilerplate(pages: DataFrame, group: Column, lines: Column, percent: int = 50, min_pages: int = 2) -> DataFrame:
-    """pages with host (the group), lines, n_lines, n_removed and kept_text (the lines that stay, joined by newlines)."""
+def _row_print(df: DataFrame) -> Column:
+    """The hash of a whole row: xxhash64 skips nulls, so where they are is hashed too, and takes no maps, so they are written out."""
+    columns = [F.col(c).cast("string") if "map<" in kind else F.col(c) for c, kind in df.dtypes]
+    return _print(*columns, *(x.isNull() for x in columns))
+
+
+def without_boilerplate(pages: DataFrame, group: Column, lines: Column, percent: int = 50, min_pages: int = 2, repeats: bool = False) -> DataFrame:
+    """pages with host (the group), lines, n_lines, n_removed and kept_text (the lines that stay, joined by newlines).
+
+    repeats: rows equal in all columns are pages of their own.
+    """
     read = pages.withColumns({"_ln_host": group, "_ln_lines": lines})
-    totals = read.groupBy("_ln_host").agg(F.count("*").alias("_ln_pages")).where(F.col("_ln_pages") >= min_pages)
+    prints = F.array_distinct(F.transform("_ln_lines", lambda x: _print(x)))
+    once = read if repeats else read.select("_ln_host", prints.alias("_ln_prints"), _row_print(pages).alias("_ln_row")).dropDuplicates(["_ln_row"])
+    totals = once.groupBy("_ln_host").agg(F.count("*").alias("_ln_pages")).where(F.col("_ln_pages") >= min_pages)
     counts = (
-        read.select("_ln_host", F.explode(F.array_distinct(F.transform("_ln_lines", _print))).alias("line"))
+        once.select("_ln_host", F.explode(prints if repeats else F.col("_ln_prints")).alias("line"))
         .groupBy("_ln_host", "line")
         .agg(F.count("*").alias("n"))
         .where(F.col("n") * 100 > min_pages * percent)
@@ -70,7 +82,7 @@ def without_boilerplate(pages: DataFrame, group: Column, lines: Column, percent:
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = documents(spark, sf_dir, "pages").select("page_id", "url", "html")
-    out = without_boilerplate(pages, host_of(F.col("url")), html_lines(F.col("html")))
+    out = without_boilerplate(pages, host_of(F.col("url")), html_lines(F.col("html")), repeats=True)
     return out.select("page_id", "host", "n_lines", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
